@@ -226,7 +226,7 @@ def encode_column(df: DataFrame, keep: tuple[str, ...] = (), text: str = "text",
 
         def rows(cols):
             n_tokens, all_ids, shas, decs = [], [], [], []
-            texts = cols["\0text"]
+            texts = cols["__text"]
             for no, text in enumerate(texts):
                 got, new = [], cache.new
                 for c in model.split(text):
@@ -253,7 +253,7 @@ def encode_column(df: DataFrame, keep: tuple[str, ...] = (), text: str = "text",
 
         return rows
 
-    return map_rows(df.select(*[F.col(c) for c in keep], text_or_empty(text).alias("\0text")), make, schema)
+    return map_rows(df.select(*[F.col(c) for c in keep], text_or_empty(text).alias("__text")), make, schema)
 
 
 def decode_column(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = (), proto: bytes | None = None) -> DataFrame:
@@ -265,15 +265,15 @@ def decode_column(df: DataFrame, ids: str = "ids", keep: tuple[str, ...] = (), p
         model = loaded(proto)
 
         def rows(cols):
-            out = [None if x is None else model.decode(x) for x in cols["\0ids"]]
-            for x, y in [(x, y) for x, y in zip(cols["\0ids"], out, strict=True) if x is not None][:1]:
+            out = [None if x is None else model.decode(x) for x in cols["__ids"]]
+            for x, y in [(x, y) for x, y in zip(cols["__ids"], out, strict=True) if x is not None][:1]:
                 if model.library.decode(x) != y:
                     raise ValueError(f"decoding differs from the library's: {x[:50]}")
             return {c: cols[c] for c in keep} | {"decoded": out}
 
         return rows
 
-    return map_rows(df.select(*[F.col(c) for c in keep], F.col(ids).alias("\0ids")), make, (kinds + ", " if kinds else "") + "decoded string")
+    return map_rows(df.select(*[F.col(c) for c in keep], F.col(ids).alias("__ids")), make, (kinds + ", " if kinds else "") + "decoded string")
 
 
 def encode_documents(df: DataFrame, proto: bytes | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska, piece_bpe, tokencount
+from . import linededup, matroska, mixing, oracles, piece_bpe, quality, sharding, tokencount
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encode_documents(table(spark, sf_dir, "documents"))
 
@@ -24,9 +28,21 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op6_sentencepiece, op7_token_counts)}
+    return {f.__name__: f for f in (op1_matroska, op5_line_dedup, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_line_dedup": oracles.OP5, "op8_quality_rules": oracles.OP8, "op10_mixing": oracles.OP10}
