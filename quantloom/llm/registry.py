@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, matroska, mixing, oracles, piece_bpe, quality, sharding, tokencount, toxicity
+from . import linededup, matroska, mixing, oracles, piece_bpe, quality, sharding, suffix, tokencount, toxicity
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.report_documents(table(spark, sf_dir, "documents"))
 
@@ -45,7 +49,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op3_toxicity, op5_line_dedup, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_matroska, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
