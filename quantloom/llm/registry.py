@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, matroska, mixing, oracles, piece_bpe, quality, sharding, suffix, tokencount, toxicity
+from . import bagminhash, linededup, matroska, mixing, oracles, piece_bpe, quality, sharding, suffix, tokencount, toxicity
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,10 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
+def op2_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,7 +53,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_matroska, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_sharding, op10_mixing)}
+    return {f.__name__: f for f in (op1_matroska, op2_bagminhash, op3_toxicity, op4_suffix_dedup, op5_line_dedup, op6_sentencepiece, op7_token_counts, op8_quality_rules, op9_sharding, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
