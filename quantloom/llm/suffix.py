@@ -36,7 +36,7 @@ LENGTH, SEED = 100, 32
 REACH = LENGTH - SEED  # bytes before a seed that its windows can reach
 HALF = REACH // 2
 #: Bytes hashed together, seeds a task holds before it emits them, bytes of one suffix array.
-BATCH, HELD, BLOCK = 1 << 16, 4_000_000, 8 << 20
+BATCH, HELD, BLOCK = 1 << 16, 4_000_000, 2 << 20
 _NO_ID = -(1 << 63)
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -184,9 +184,22 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["key", "doc", "start", "part"])
 
 
-def _names(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Order-preserving names from 1, and how many there are."""
-    order = np.argsort(keys)
+def _order(keys: np.ndarray, most: int) -> np.ndarray:
+    """Positions in the order of keys under `most`; a sort of key and position in one number where they fit."""
+    bits = len(keys).bit_length()
+    if most < 1 << 62 - bits:
+        return np.sort(keys << bits | np.arange(len(keys))) & ((1 << bits) - 1)
+    return np.argsort(keys)
+
+
+def _names(keys: np.ndarray, most: int) -> tuple[np.ndarray, int]:
+    """Order-preserving names from 1 of keys under `most`, and how many there are."""
+    if most <= max(1 << 16, 2 * len(keys)):
+        seen = np.zeros(most, np.int64)
+        seen[keys] = 1
+        np.cumsum(seen, out=seen)
+        return seen[keys], int(seen[-1])
+    order = _order(keys, most)
     new = np.ones(len(keys), np.int64)
     new[1:] = keys[order][1:] != keys[order][:-1]
     out = np.empty(len(keys), np.int64)
@@ -205,7 +218,7 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
         return out
     size = int(t.max()) + 1
     if size ** 3 >= 1 << 62:
-        t, size = _names(t)
+        t, size = _names(t, size)
         size += 1
     x = np.concatenate([t, np.zeros(3, np.int64)])
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
@@ -213,10 +226,10 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
     # Sort the sampled triples and name them; recurse on the names where some are equal.
     if size ** 3 < 1 << 62:
         triples = (x[sample] * size + x[np.minimum(sample + 1, n + 2)]) * size + x[np.minimum(sample + 2, n + 2)]
-        names, kinds = _names(triples)
+        names, kinds = _names(triples, size**3)
     else:
-        head, heads = _names(x[sample] * size + x[np.minimum(sample + 1, n + 2)])
-        names, kinds = _names(head * size + x[np.minimum(sample + 2, n + 2)])
+        head, heads = _names(x[sample] * size + x[np.minimum(sample + 1, n + 2)], size * size)
+        names, kinds = _names(head * size + x[np.minimum(sample + 2, n + 2)], (heads + 1) * size)
     if kinds < len(sample):
         ranks = suffix_ranks(names)
     else:
@@ -229,7 +242,7 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
     # The remaining suffixes: by first symbol and rank of the next; then merge by comparing with either kind.
     zero = np.arange(0, n, 3)
     k0 = x[zero] * m + rank[zero + 1]
-    order = np.argsort(k0)
+    order = _order(k0, size * m)
     zero, k0 = zero[order], k0[order]
     s1, s2 = by_rank[by_rank % 3 == 1], by_rank[by_rank % 3 == 2]
     s1, s2 = s1[s1 < n], s2
@@ -238,7 +251,7 @@ def suffix_ranks(t: np.ndarray) -> np.ndarray:
         z2 = (x[zero] * size + x[zero + 1]) * m + rank[zero + 2]
         k2 = (x[s2] * size + x[s2 + 1]) * m + rank[np.minimum(s2 + 2, n + 2)]
     else:
-        pair, pairs = _names(np.concatenate([x[zero] * size + x[zero + 1], x[s2] * size + x[s2 + 1]]))
+        pair, _ = _names(np.concatenate([x[zero] * size + x[zero + 1], x[s2] * size + x[s2 + 1]]), size * size)
         z2 = pair[: len(zero)] * m + rank[zero + 2]
         k2 = pair[len(zero) :] * m + rank[np.minimum(s2 + 2, n + 2)]
     out = np.empty(n, np.int64)
@@ -256,13 +269,14 @@ def repeated_windows(docs: np.ndarray, starts: np.ndarray, parts: list[bytes], l
     """Document and start of every window of the fragments that equals an earlier one of them."""
     sizes = np.array([len(p) for p in parts])
     text = np.frombuffer(b"".join(parts) + bytes(length), np.uint8)
-    rank = suffix_ranks(text[: int(sizes.sum())].astype(np.int64) + 1)
+    used = np.cumsum(np.bincount(text, minlength=256) > 0)  # few bytes occur, so names of triples need no sort
+    rank = suffix_ranks(used[text[: int(sizes.sum())]])
     windows = np.maximum(sizes - length + 1, 0)
     owner = np.repeat(np.arange(len(parts)), windows)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows)
     at = np.repeat(np.cumsum(sizes) - sizes, windows) + inside
     doc, start = docs[owner], starts[owner] + inside
-    order = np.argsort(rank[at])
+    order = _order(rank[at], len(rank) + 1)
     at, doc, start = at[order], doc[order], start[order]
     same = np.zeros(len(at), bool)
     view = np.lib.stride_tricks.sliding_window_view(text, length)
@@ -287,14 +301,32 @@ def _contested_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         alone = np.r_[True, keys[1:] != keys[:-1]] & np.r_[keys[1:] != keys[:-1], True]
         if alone.all():
             return None
-        docs, starts = np.concatenate(docs)[~alone], np.concatenate(starts)[~alone]
+        left = ~alone
+        keys, docs, starts = keys[left], np.concatenate(docs)[left], np.concatenate(starts)[left].astype(np.int64)
         parts = [p for p, a in zip(parts, alone.tolist(), strict=True) if not a]
-        doc, start = repeated_windows(docs, starts.astype(np.int64), parts)
+        # Equal fragments: all windows of the later ones go.
+        order = np.lexsort((starts, docs, keys))
+        first: dict[tuple[int, bytes], int] = {}
+        ks = keys.tolist()
+        lead = [first.setdefault((ks[i], parts[i]), i) for i in order.tolist()]
+        lead_of = np.empty(len(keys), np.int64)
+        lead_of[order] = lead
+        copies = np.flatnonzero((docs != docs[lead_of]) | (starts != starts[lead_of]))
+        windows = np.array([len(parts[i]) - LENGTH + 1 for i in copies.tolist()], np.int64)
+        copied = np.repeat(docs[copies], windows), np.repeat(starts[copies] - np.cumsum(windows) + windows, windows) + np.arange(int(windows.sum()))
+        # Only keys with several fragments are left to be sorted.
+        heads = np.array(sorted(first.values()), np.int64)
+        kinds, inverse, count = np.unique(keys[heads], return_inverse=True, return_counts=True)
+        heads = heads[count[inverse] > 1]
+        doc, start = repeated_windows(docs[heads], starts[heads], [parts[i] for i in heads.tolist()]) if len(heads) else (docs[:0], starts[:0])
+        doc, start = np.r_[doc, copied[0]], np.r_[start, copied[1]]
+        if not len(doc):
+            return None
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)] if len(doc) else np.zeros(0, bool)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
         lead = np.flatnonzero(new)
-        end = np.r_[lead[1:], len(doc)] - 1 if len(lead) else lead
+        end = np.r_[lead[1:], len(doc)] - 1
         return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(start[lead].astype(np.int32)), pa.array(start[end].astype(np.int32))], names=["doc", "start", "last"])
 
     keys, docs, starts, parts, size = [], [], [], [], 0
