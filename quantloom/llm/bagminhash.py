@@ -9,12 +9,14 @@ sum(min) / sum(max) of their counts. Points past a text's time limit can't be fi
 filled, so only those before it are drawn; where a register stays empty the limit doubles.
 
 BANDS bands of ROWS registers make candidates (a pair of similarity 0.8 is missed with probability 7e-6). Exact
-copies meet by a digest first, so a group of them is one row of each task. In each bucket every text is
-compared with the bucket's head; the verified links give components; then texts of other components than the
-head's are compared with all of the bucket's texts outside their own component. Pairs whose sizes, whose
-distances to the head (a metric) or whose sketches exclude a similarity of 0.8 are left out before the
-comparison (sketches: 5.5 standard deviations away). Buckets with many such texts are split by the other bands'
-keys first. The comparison is of whole multisets. Components are found by minimum labels and pointer jumping.
+copies meet by a digest first, so a group of them is one row of each task. Then come rounds that compare only
+texts of different components, since more links inside one change nothing: in each bucket the texts outside
+the head's component are compared with the head, first for some bands, then, in the components so found, for
+all; at last the texts that still are outside the head's component are compared with all of the bucket outside
+their own. Hence a large group of near copies costs about one comparison for each. Pairs whose sizes or whose
+sketches exclude a similarity of 0.8 are left out before (one bit of SKETCH registers; the bound is 4.5 standard
+deviations away). A bucket with many texts outside is split by the other bands' keys for the last round. The
+comparison is of whole multisets. Components are found by minimum labels and pointer jumping.
 
 Defined cases: null texts are empty; a text of 1 to 4 words is one shingle; a text without words is linked to
 nothing but its exact copies; the class id is the least doc_id; a null doc_id counts as the least; rows
@@ -37,8 +39,10 @@ from ._common import materialize, ship, text_or_empty
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
-#: Registers whose low bytes make the sketch, and how many of them have to agree.
-SKETCH, SKETCH_LEAST = 64, 33
+#: Registers whose lowest bit makes the sketch, and how many of them may differ.
+SKETCH, SKETCH_MOST = 128, 28
+#: Bands of the first round.
+FIRST_BANDS = 4
 #: Texts outside the head's component from which on a bucket is split by the other bands' keys.
 SPLIT_FROM = 32
 BATCH = 1 << 18
@@ -160,7 +164,7 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for r in range(ROWS):
                         h = _mix(h * _BASE + sig[:, b * ROWS + r])
                     keys[:, b] = h
-                low = np.ascontiguousarray((sig[:, :SKETCH] & np.uint64(255)).astype(np.uint8)).view(np.int64)
+                low = np.packbits((sig[:, :SKETCH] & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
                 total = np.bincount(doc, count, len(texts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -168,9 +172,10 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
                         pa.array(total),
                         pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
-                        pa.array(list(low), pa.list_(pa.int64())),
+                        pa.array(low[:, 0]),
+                        pa.array(low[:, 1]),
                     ],
-                    names=["doc", "digest", "weight", "bands", "sketch"],
+                    names=["doc", "digest", "weight", "bands", "s0", "s1"],
                 )
                 ids, texts, size = [], [], 0
 
@@ -204,10 +209,14 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b, similarity of distinct pairs."""
+def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """Those of distinct candidate pairs (a, b) that are similar enough."""
+    pairs = materialize(pairs, "bag-pairs")
+    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "bag-ids")
+    texts = materialize(base.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
     both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("bytes").alias("tb")), "b")
-    return materialize(both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint, similarity double"), "bag-compared")
+    compared = both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint, similarity double")
+    return materialize(compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "bag-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -225,71 +234,70 @@ def components(edges: DataFrame) -> DataFrame:
         labels = jumped.select("doc", "comp")
 
 
-def _agreeing(a: str, b: str) -> Column:
-    """How many bytes of two sketches are equal: the bytes of the xor that are 0."""
-    parts = []
-    for i in range(SKETCH // 8):
-        x = f"({a}[{i}] ^ {b}[{i}])"
-        x = f"({x} | shiftrightunsigned({x}, 4))"
-        parts.append(x)
-    ones = 0x0101010101010101
-    fold = lambda x: f"bit_count((({x}) | shiftrightunsigned(({x}), 1) | shiftrightunsigned(({x}), 2) | shiftrightunsigned(({x}), 3)) & {ones}L)"
-    return F.lit(SKETCH) - F.expr(" + ".join(fold(x) for x in parts))
+def _may_match(a: str, b: str) -> Column:
+    """False if weights or sketches of two sides (column prefixes) exclude the similarity."""
+    c = lambda side, name: F.col(f"{side}{name}")
+    sizes = F.least(c(a, "weight"), c(b, "weight")) >= F.lit(SIMILARITY) * F.greatest(c(a, "weight"), c(b, "weight"))
+    return sizes & (F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) <= SKETCH_MOST)
 
 
-def _close(a: str, b: str) -> Column:
-    return F.least(a, b) >= F.lit(SIMILARITY) * F.greatest(a, b)
+def _rows(texts: DataFrame, comps: DataFrame | None, first: int, last: int) -> DataFrame:
+    """A row for each text and band: doc, weight, s0, s1, comp, key."""
+    own = texts.filter("weight > 0")
+    own = own.withColumn("comp", F.col("doc")) if comps is None else own.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
+    return own.select("doc", "weight", "s0", "s1", "comp", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
 
 
-def _residual_pairs(buckets: DataFrame) -> DataFrame:
-    """Candidate pairs between components inside buckets (key, doc, weight, sketch, comp, head, head_comp, apart):
-    of texts outside the head's component with all others of another component."""
-    out = buckets.filter("comp != head_comp").select("key", *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "sketch", "comp", "apart")])
-    pairs = buckets.join(out, "key").filter("comp != x_comp and doc != head and (comp = head_comp or doc < x_doc)")
-    # Distances to the head are known from the first round; Jaccard distance is a metric.
-    pairs = pairs.filter(_close("weight", "x_weight") & (F.coalesce(F.abs(F.col("apart") - F.col("x_apart")), F.lit(0.0)) <= 1 - SIMILARITY + 1e-9))
-    pairs = pairs.filter(_agreeing("sketch", "x_sketch") >= SKETCH_LEAST)
-    return pairs.select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
+def _heads(rows: DataFrame) -> DataFrame:
+    """key and its head (the least doc) of the buckets with several components."""
+    out = rows.groupBy("key").agg(F.min(F.struct("doc", "weight", "s0", "s1", "comp")).alias("h"), F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter("_least != _most")
+    return materialize(out.select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-heads")
+
+
+def _star_pairs(texts: DataFrame, comps: DataFrame | None, first: int, last: int) -> DataFrame:
+    rows = _rows(texts, comps, first, last)
+    heads = _heads(rows)
+    met = rows.join(heads, (rows.key == heads.key) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
+    return met.select(F.col("h_doc").alias("a"), F.col("doc").alias("b")).distinct()
+
+
+def _last_pairs(texts: DataFrame, comps: DataFrame) -> DataFrame:
+    """Candidate pairs between texts outside their bucket's head's component and those of other components."""
+    rows = _rows(texts, comps, 0, BANDS)
+    heads = _heads(rows).select(F.col("key").alias("h_key"), "h_doc", "h_comp")
+    out = materialize(rows.join(heads, (F.col("key") == F.col("h_key")) & (F.col("comp") != F.col("h_comp"))).select(F.col("key").alias("x_key"), "h_doc", "h_comp", *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-outside")
+    # Pairs with the head are known; of two texts outside, one asks.
+    asks = (F.col("comp") != F.col("x_comp")) & (F.col("doc") != F.col("h_doc")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
+    named = (F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b"))
+    hot = materialize(out.groupBy("x_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= SPLIT_FROM).select("x_key"), "bag-hot")
+    few = rows.join(out.join(hot, "x_key", "left_anti"), (F.col("key") == F.col("x_key")) & asks).select(*named)
+    if hot.isEmpty():
+        return few.distinct()
+    # Similar texts of one bucket agree in another band as well (missed with probability 1e-5): split by those.
+    other = texts.select("doc", F.explode("bands").alias("other"))
+    both = lambda key: F.xxhash64(F.least(key, "other"), F.greatest(key, "other"))
+    many_x = materialize(out.join(hot, "x_key").join(other.withColumnRenamed("doc", "x_doc"), "x_doc").filter("other != x_key").withColumn("x_key", both("x_key")).drop("other").dropDuplicates(["x_key", "x_doc"]), "bag-split")
+    many = rows.join(hot.withColumnRenamed("x_key", "key"), "key").join(other, "doc").filter("other != key").withColumn("key", both("key")).drop("other").dropDuplicates(["key", "doc"])
+    return few.unionAll(many.join(many_x, (F.col("key") == F.col("x_key")) & asks).select(*named)).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, text_id (least doc_id of its exact copies) and n_links (verified links of that text)."""
+    """doc_id, class_id and text_id (least doc_id of its exact copies)."""
     ship(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), text_or_empty().cast("binary").alias("bytes"))
-    signed = materialize(base.mapInArrow(_signed_rows, "doc bigint, digest binary, weight bigint, bands array<bigint>, sketch array<bigint>"), "bag-signed")
-    texts = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("weight", "bands", "sketch"), "doc").alias("v")).select("digest", "doc", "v.*"), "bag-texts")
-    rows = texts.filter("weight > 0").select("doc", "weight", F.explode("bands").alias("key"))
-    heads = materialize(rows.groupBy("key").agg(F.min(F.struct("doc", "weight")).alias("head"), F.count("*").alias("n")).filter("n > 1").select("key", F.col("head.doc").alias("head"), F.col("head.weight").alias("head_weight")), "bag-heads")
-    met = materialize(rows.join(heads, "key"), "bag-met")
-    stars = met.filter(F.col("doc") != F.col("head")).filter(_close("weight", "head_weight")).select(F.col("head").alias("a"), F.col("doc").alias("b")).distinct()
-    asked = materialize(base.join(met.select("doc").distinct(), "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
-    first = _verified(materialize(stars, "bag-stars"), asked)
-    links = first.filter(F.col("similarity") >= SIMILARITY).select("a", "b")
+    signed = materialize(base.mapInArrow(_signed_rows, "doc bigint, digest binary, weight bigint, bands array<bigint>, s0 bigint, s1 bigint"), "bag-signed")
+    texts = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("weight", "bands", "s0", "s1"), "doc").alias("v")).select("digest", "doc", "v.*"), "bag-texts")
+    links = _verified(_star_pairs(texts, None, 0, FIRST_BANDS), base)
     comps = components(links)
-    # Second round: inside buckets, between components.
-    placed = met.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    placed = placed.join(comps.select(F.col("doc").alias("head"), F.col("comp").alias("head_comp")), "head", "left").withColumn("head_comp", F.coalesce("head_comp", "head"))
-    placed = materialize(placed, "bag-placed")
-    open_keys = placed.groupBy("key").agg(F.count_if(F.col("comp") != F.col("head_comp")).alias("outside"), F.count("*").alias("n")).filter("outside > 0 and n > 2")
-    held = placed.join(materialize(open_keys.select("key", "outside"), "bag-open"), "key")
-    held = held.join(first.select(F.col("a").alias("head"), F.col("b").alias("doc"), (1 - F.col("similarity")).alias("apart")), ["head", "doc"], "left").join(texts.select("doc", "sketch", "bands"), "doc")
-    held = materialize(held.withColumn("apart", F.when(F.col("doc") == F.col("head"), 0.0).otherwise(F.col("apart"))), "bag-held")
-    few = _residual_pairs(held.filter(F.col("outside") < SPLIT_FROM).drop("bands"))
-    # A hot bucket's similar pairs agree in another band too (missed with probability 1e-5), so it is split by those.
-    split = held.filter(F.col("outside") >= SPLIT_FROM).withColumn("other", F.explode("bands")).filter("other != key").withColumn("key", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).drop("bands", "other", "outside")
-    split = materialize(split.dropDuplicates(["key", "doc"]), "bag-split")
-    shared = split.groupBy("key").agg(F.count("*").alias("_n"), F.count_if(F.col("comp") != F.col("head_comp")).alias("_out")).filter("_n > 1 and _out > 0").select("key")
-    many = _residual_pairs(split.join(materialize(shared, "bag-shared"), "key"))
-    pairs = materialize(few.unionByName(many).distinct(), "bag-pairs")
-    second = _verified(pairs, asked).filter(F.col("similarity") >= SIMILARITY).select("a", "b")
-    if not second.isEmpty():
-        links = links.unionByName(second)
-        comps = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("doc")).groupBy("doc").agg(F.count("*").alias("n_links"))
-    known = texts.select("digest", F.col("doc").alias("text_id")).join(comps.select(F.col("doc").alias("text_id"), "comp"), "text_id", "left").join(degree.withColumnRenamed("doc", "text_id"), "text_id", "left")
-    known = materialize(known.select("digest", "text_id", F.coalesce("comp", "text_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "bag-classes")
+    for pairs in (lambda c: _star_pairs(texts, c, FIRST_BANDS, BANDS), lambda c: _last_pairs(texts, c)):
+        more = _verified(pairs(comps), base)
+        if not more.isEmpty():
+            links = materialize(links.unionAll(more), "bag-all")
+            comps = components(links)
+    known = texts.select("digest", F.col("doc").alias("text_id")).join(comps.withColumnRenamed("doc", "text_id"), "text_id", "left")
+    known = materialize(known.select("digest", "text_id", F.coalesce("comp", "text_id").alias("class_id")), "bag-classes")
     named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias("doc_id" if c == "doc" else c)
-    return signed.select("doc", "digest").join(known, "digest").select(named("doc"), named("class_id"), named("text_id"), F.col("n_links").cast("bigint").alias("n_links"))
+    return signed.select("doc", "digest").join(known, "digest").select(named("doc"), named("class_id"), named("text_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
