@@ -23,7 +23,7 @@ def volume_thresholds(ticks: DataFrame, target_bars: int = 600, least: int = 200
 
 
 def segment_by_threshold(df: DataFrame, threshold: str | float, measure: str = "size", order: tuple[str, ...] = ORDER, part: tuple[str, ...] = PART, descending: tuple[str, ...] = ()) -> DataFrame:
-    """df with bar_id (from 0 in each part) and bar_full. Rows stream through in order, so a part of any size needs
+    """df with bar_id (from 0 in each part) and bar_closed (on the row that fills its bar). Rows stream through in order, so a part of any size needs
     one batch of memory; in a batch each bar's end is a binary search in the running sums. The accumulated
     measure is the only state that goes from row to row. A NULL threshold (a ticker without one) gives no rows."""
     if not isinstance(threshold, str):
@@ -31,7 +31,7 @@ def segment_by_threshold(df: DataFrame, threshold: str | float, measure: str = "
     columns = df.columns
     own = df.filter(F.col(threshold).isNotNull()).withColumns({"_m": F.col(measure).cast("double"), "_part": F.struct(*[F.col(c).cast("string") for c in part]), "_t": F.col(threshold).cast("double")})
     sorted_rows = own.repartition(*part).sortWithinPartitions(*part, *[F.col(c).desc() if c in descending else F.col(c) for c in order])
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name not in ('_m', '_part', '_t'))}, bar_id bigint, bar_full boolean"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in own.schema if f.name not in ('_m', '_part', '_t'))}, bar_id bigint, bar_closed boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -49,7 +49,7 @@ def segment_by_threshold(df: DataFrame, threshold: str | float, measure: str = "
                 codes = f.dictionary_encode().indices.fill_null(-1).to_numpy()
                 keys = keys * (codes.max(initial=0) + 2) + codes + 1
             cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else []
-            ids, full = np.zeros(n, np.int64), np.zeros(n, bool)
+            ids, closed = np.zeros(n, np.int64), np.zeros(n, bool)
             for a, b in zip(cuts, [*cuts[1:], n], strict=True):
                 key = parts[int(a)].as_py()
                 if key != here:
@@ -67,13 +67,13 @@ def segment_by_threshold(df: DataFrame, threshold: str | float, measure: str = "
                         size *= 4
                     ids[at : at + end + 1] = bar
                     if end < len(sums):
-                        full[at : at + end + 1] = True
+                        closed[at + end] = True
                         at, total, bar = at + end + 1, 0.0, bar + 1
                     else:
                         total, at = float(sums[-1]), b
             kept = [batch.column(i) for i, c in enumerate(names) if c not in ("_m", "_part", "_t")]
             labels = [c for c in names if c not in ("_m", "_part", "_t")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids), pa.array(full)], names=[*labels, "bar_id", "bar_full"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(ids), pa.array(closed)], names=[*labels, "bar_id", "bar_closed"])
 
     out = sorted_rows.mapInArrow(run, schema)
     return out.drop("_threshold") if "_threshold" in columns else out
@@ -83,7 +83,7 @@ def _ordinal(order: tuple[str, ...]) -> Column:
     return F.struct(*[F.col(c) for c in order])
 
 
-def aggregate_bars(rows: DataFrame, order: tuple[str, ...] = ORDER, part: tuple[str, ...] = PART) -> DataFrame:
+def aggregate_bars(rows: DataFrame, order: tuple[str, ...] = ORDER, part: tuple[str, ...] = PART, *more: Column) -> DataFrame:
     """Open, high, low, close, volume, vwap and trade count of each bar; partial and final hash aggregates."""
     close = F.max_by("price", _ordinal(order))
     return rows.groupBy(*part, "bar_id").agg(
@@ -92,6 +92,7 @@ def aggregate_bars(rows: DataFrame, order: tuple[str, ...] = ORDER, part: tuple[
         F.sum("size").alias("volume"),
         F.when(F.sum("size") > 0, F.sum(F.col("price") * F.col("size")) / F.sum("size")).otherwise(close).alias("vwap"),
         F.count("*").alias("trade_count"),
+        *more,
     )
 
 
@@ -105,10 +106,9 @@ def generic_bars(trades: DataFrame, measure: str = "dollar", target: int = 3000,
     rows = trades.withColumn("dollar", F.col("price") * F.col("size"))
     column = "dollar" if measure == "dollar" else "size"
     limits = rows.groupBy(*part).agg((F.sum(column) / target).alias("_limit"))
-    cut = segment_by_threshold(rows.join(limits, list(part)), "_limit", column, order, part).filter("bar_full")
-    bars = aggregate_bars(cut, order, part).withColumnRenamed("trade_count", "num_trades")
-    dollars = cut.groupBy(*part, "bar_id").agg(F.sum("dollar").alias("dollar_value"))
-    out = bars.join(dollars, [*part, "bar_id"])
+    cut = segment_by_threshold(rows.join(limits, list(part)), "_limit", column, order, part)
+    out = aggregate_bars(cut, order, part, F.sum("dollar").alias("dollar_value"), F.max("bar_closed").alias("_closed"))
+    out = out.filter("_closed").drop("_closed").withColumnRenamed("trade_count", "num_trades")
     return out.withColumns({"duration": seconds_between("t", "t_end"), "return": F.ln(F.col("close") / F.col("open"))})
 
 

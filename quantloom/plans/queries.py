@@ -46,7 +46,7 @@ def _r(columns: str, digits: int = 6) -> str:
     out = []
     for c in columns.split(";"):
         name, _, expr = c.strip().partition("=")
-        out.append(f"round(cast({expr.strip() or name.strip()} as double), {digits}) {name.strip()}")
+        out.append(f"round(cast({expr.strip() or name.strip()} as double), {digits}) \"{name.strip()}\"")
     return ", ".join(out)
 
 
@@ -302,10 +302,10 @@ _LI = dict(
 LI_ORDER = ("ts", "k1", "k2", "k3", "k4", "k5")
 
 
-@register("b6_generic_bars", "select ticker, date, bar_id, min(ts) t, max(ts) t_end, " + _r('open=arg_min(price, rn);high=max(price);low=min(price);close=arg_max(price, rn);volume=sum(size);vwap=sum(price * size) / sum(size)', 4) + ", count(*) num_trades, " + _r("dollar_value=sum(price * size)", 2) + ", " + _r("duration=(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6;return=ln(arg_max(price, rn) / arg_min(price, rn))", 4) + " from liall where done group by ticker, date, bar_id", **_LI)
+@register("b6_generic_bars", "select ticker, date, bar_id, min(ts) t, max(ts) t_end, " + _r('open=arg_min(price, rn);high=max(price);low=min(price);close=arg_max(price, rn);volume=sum(size)', 10) + ", " + _r("vwap=sum(price * size) / sum(size)", 7) + ", count(*) num_trades, " + _r("dollar_value=sum(price * size)", 2) + ", " + _r("duration=(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6;return=ln(arg_max(price, rn) / arg_min(price, rn))", 10) + " from liall where done group by ticker, date, bar_id", **_LI)
 def b6_generic_bars(s, d):
     out = bars.generic_bars(fixtures.lineitem_trades(s, d), "volume", 300, LI_ORDER)
-    return rounded(out.withColumn("dollar_value", F.round("dollar_value", 2)), 4)
+    return rounded(out.withColumns({"dollar_value": F.round("dollar_value", 2), "vwap": F.round("vwap", 7)}), 10)
 
 
 # --- features and labels -----------------------------------------------------------------------------------
@@ -664,7 +664,7 @@ def e7_flow_stats(s, d):
     return rounded(explore.flow_stats(_slots(s, d)), 3)
 
 
-@register("e8_intraday_profile", "select ticker, count(*) minutes, " + _r("profile_cv=stddev_samp(avg_volume) / avg(avg_volume)", 5) + " from prof group by ticker", **_SLOTS)
+@register("e8_intraday_profile", "select ticker, count(*) \"minutes\", " + _r("profile_cv=stddev_samp(avg_volume) / avg(avg_volume)", 5) + " from prof group by ticker", **_SLOTS)
 def e8_intraday_profile(s, d):
     return rounded(explore.profile_cv(explore.intraday_profile(_slots(s, d))), 5)
 
