@@ -11,12 +11,12 @@ filled, so only those before it are drawn; where a register stays empty the limi
 BANDS bands of ROWS registers make candidates (a pair of similarity 0.8 is missed with probability 7e-6). Exact
 copies meet by a digest first, so a group of them is one row of each task. Then come rounds that compare only
 texts of different components, since more links inside one change nothing: in each bucket the texts outside
-the head's component are compared with the head, first for some bands, then, in the components so found, for
-all; at last the texts that still are outside the head's component are compared with all of the bucket outside
-their own. Hence a large group of near copies costs about one comparison for each. Pairs whose sizes or whose
-sketches exclude a similarity of 0.8 are left out before (one bit of SKETCH registers; the bound is 4.5 standard
-deviations away). A bucket with many texts outside is split by the other bands' keys for the last round. The
-comparison is of whole multisets. Components are found by minimum labels and pointer jumping.
+its largest component are compared with one member of that component, another in each bucket and round, at
+first for some bands only. So a large group of near copies costs a few comparisons for each text. Once what
+is left outside is small (or ROUNDS are over), it is compared with all texts of other components in its
+buckets. Pairs whose sizes or whose sketches exclude a similarity of 0.8 are left out before (one bit of SKETCH
+registers; the bound is 4.5 standard deviations away). The comparison is of whole multisets. Components are
+found by minimum labels and pointer jumping.
 
 Defined cases: null texts are empty; a text of 1 to 4 words is one shingle; a text without words is linked to
 nothing but its exact copies; the class id is the least doc_id; a null doc_id counts as the least; rows
@@ -41,10 +41,8 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Registers whose lowest bit makes the sketch, and how many of them may differ.
 SKETCH, SKETCH_MOST = 128, 28
-#: Bands of the first round.
-FIRST_BANDS = 4
-#: Texts outside the head's component from which on a bucket is split by the other bands' keys.
-SPLIT_FROM = 32
+#: Bands of the first round, most rounds, and the pairs for each row of a shared bucket that the last one may ask for.
+FIRST_BANDS, ROUNDS, LAST_PAIRS = 4, 8, 1
 BATCH = 1 << 18
 _NO_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
@@ -209,12 +207,9 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, base: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of distinct candidate pairs (a, b) that are similar enough."""
-    pairs = materialize(pairs, "bag-pairs")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "bag-ids")
-    texts = materialize(base.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
-    both = pairs.join(texts.select(F.col("doc").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("bytes").alias("tb")), "b")
+    both = materialize(pairs, "bag-pairs").join(texts.select(F.col("doc").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("bytes").alias("tb")), "b")
     compared = both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint, similarity double")
     return materialize(compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "bag-links")
 
@@ -241,44 +236,33 @@ def _may_match(a: str, b: str) -> Column:
     return sizes & (F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) <= SKETCH_MOST)
 
 
-def _rows(texts: DataFrame, comps: DataFrame | None, first: int, last: int) -> DataFrame:
-    """A row for each text and band: doc, weight, s0, s1, comp, key."""
-    own = texts.filter("weight > 0")
-    own = own.withColumn("comp", F.col("doc")) if comps is None else own.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc"))
-    return own.select("doc", "weight", "s0", "s1", "comp", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
+def _shared_rows(texts: DataFrame) -> DataFrame:
+    """doc, weight, s0, s1, band, key of the texts in buckets of at least two."""
+    rows = texts.filter("weight > 0").select("doc", "weight", "s0", "s1", F.posexplode("bands").alias("band", "key"))
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "bag-keys")
+    return materialize(rows.join(keys, "key"), "bag-rows")
 
 
-def _heads(rows: DataFrame) -> DataFrame:
-    """key and its head (the least doc) of the buckets with several components."""
-    out = rows.groupBy("key").agg(F.min(F.struct("doc", "weight", "s0", "s1", "comp")).alias("h"), F.min("comp").alias("_least"), F.max("comp").alias("_most")).filter("_least != _most")
-    return materialize(out.select("key", *[F.col(f"h.{c}").alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-heads")
+def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
+    """key, n, h_n, h_comp and h_ columns of the buckets with several components: the size of the bucket and of its
+    largest component there, and one member of that."""
+    one = F.min(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("o"), "doc", "weight", "s0", "s1"))
+    per = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), one.alias("_one"))
+    out = per.groupBy("key").agg(F.sum("_c").alias("n"), F.max(F.struct("_c", "comp", "_one")).alias("h"), F.count("*").alias("_comps")).filter("_comps > 1")
+    return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1")]), "bag-open")
 
 
-def _star_pairs(texts: DataFrame, comps: DataFrame | None, first: int, last: int) -> DataFrame:
-    rows = _rows(texts, comps, first, last)
-    heads = _heads(rows)
-    met = rows.join(heads, (rows.key == heads.key) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
-    return met.select(F.col("h_doc").alias("a"), F.col("doc").alias("b")).distinct()
+def _star_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    met = rows.join(buckets.drop("n", "h_n"), (rows.key == buckets.key) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
+    return met.select(F.least("h_doc", "doc").alias("a"), F.greatest("h_doc", "doc").alias("b")).distinct()
 
 
-def _last_pairs(texts: DataFrame, comps: DataFrame) -> DataFrame:
-    """Candidate pairs between texts outside their bucket's head's component and those of other components."""
-    rows = _rows(texts, comps, 0, BANDS)
-    heads = _heads(rows).select(F.col("key").alias("h_key"), "h_doc", "h_comp")
-    out = materialize(rows.join(heads, (F.col("key") == F.col("h_key")) & (F.col("comp") != F.col("h_comp"))).select(F.col("key").alias("x_key"), "h_doc", "h_comp", *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-outside")
-    # Pairs with the head are known; of two texts outside, one asks.
-    asks = (F.col("comp") != F.col("x_comp")) & (F.col("doc") != F.col("h_doc")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
-    named = (F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b"))
-    hot = materialize(out.groupBy("x_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= SPLIT_FROM).select("x_key"), "bag-hot")
-    few = rows.join(out.join(hot, "x_key", "left_anti"), (F.col("key") == F.col("x_key")) & asks).select(*named)
-    if hot.isEmpty():
-        return few.distinct()
-    # Similar texts of one bucket agree in another band as well (missed with probability 1e-5): split by those.
-    other = texts.select("doc", F.explode("bands").alias("other"))
-    both = lambda key: F.xxhash64(F.least(key, "other"), F.greatest(key, "other"))
-    many_x = materialize(out.join(hot, "x_key").join(other.withColumnRenamed("doc", "x_doc"), "x_doc").filter("other != x_key").withColumn("x_key", both("x_key")).drop("other").dropDuplicates(["x_key", "x_doc"]), "bag-split")
-    many = rows.join(hot.withColumnRenamed("x_key", "key"), "key").join(other, "doc").filter("other != key").withColumn("key", both("key")).drop("other").dropDuplicates(["key", "doc"])
-    return few.unionAll(many.join(many_x, (F.col("key") == F.col("x_key")) & asks).select(*named)).distinct()
+def _last_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Candidate pairs between texts outside their bucket's largest component and those of other components."""
+    at = buckets.select(F.col("key").alias("x_key"), "h_comp")
+    out = materialize(rows.join(at, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("h_comp"))).select("x_key", "h_comp", *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-outside")
+    asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
+    return rows.join(out, (F.col("key") == F.col("x_key")) & asks).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -287,13 +271,23 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), text_or_empty().cast("binary").alias("bytes"))
     signed = materialize(base.mapInArrow(_signed_rows, "doc bigint, digest binary, weight bigint, bands array<bigint>, s0 bigint, s1 bigint"), "bag-signed")
     texts = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("weight", "bands", "s0", "s1"), "doc").alias("v")).select("digest", "doc", "v.*"), "bag-texts")
-    links = _verified(_star_pairs(texts, None, 0, FIRST_BANDS), base)
-    comps = components(links)
-    for pairs in (lambda c: _star_pairs(texts, c, FIRST_BANDS, BANDS), lambda c: _last_pairs(texts, c)):
-        more = _verified(pairs(comps), base)
+    rows = _shared_rows(texts)
+    asked = materialize(base.join(materialize(rows.select("doc").distinct(), "bag-ids"), "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
+    size, links, comps, turn = rows.count(), None, rows.select("doc").distinct().withColumn("comp", F.col("doc")), 0
+    while size:
+        placed = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if turn else rows.withColumn("comp", F.col("doc"))
+        buckets = _open_buckets(placed.filter(F.col("band") < FIRST_BANDS) if turn == 0 else placed, turn)
+        left = buckets.agg(F.sum((F.col("n") - F.col("h_n")) * F.col("n"))).first()[0] or 0
+        if not left and turn:
+            break
+        last = turn > 1 and (left <= LAST_PAIRS * size or turn >= ROUNDS)
+        more = _verified((_last_pairs if last else _star_pairs)(placed, buckets), asked)
         if not more.isEmpty():
-            links = materialize(links.unionAll(more), "bag-all")
-            comps = components(links)
+            links = more if links is None else materialize(links.unionAll(more), "bag-all")
+            comps = materialize(components(links), "bag-comps")
+        if last:
+            break
+        turn += 1
     known = texts.select("digest", F.col("doc").alias("text_id")).join(comps.withColumnRenamed("doc", "text_id"), "text_id", "left")
     known = materialize(known.select("digest", "text_id", F.coalesce("comp", "text_id").alias("class_id")), "bag-classes")
     named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias("doc_id" if c == "doc" else c)
