@@ -125,7 +125,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
         t, k = np.zeros(len(d)), 0
         while len(d):
             k += 1
-            p = _mix(h + np.uint64(k) * _BASE)
+            p = _mix(h + np.uint64(k * int(_BASE) & (1 << 64) - 1))
             t = t - np.log(((p >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span
             live = t <= limit[d]
             d, h, w, low, span, t, p = d[live], h[live], w[live], low[live], span[live], t[live], p[live]

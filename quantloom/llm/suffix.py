@@ -88,10 +88,20 @@ def seeds(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return owner, at - starts[owner], h[at].view(np.int64), context.view(np.int64)
 
 
+def _not_again(*columns: np.ndarray) -> np.ndarray:
+    """False for sorted rows that equal the one before: those of documents that are stored twice."""
+    again = np.ones(len(columns[0]), bool)
+    for v in columns:
+        again[1:] &= v[1:] == v[:-1]
+    again[:1] = False
+    return ~again
+
+
 def _emit(rows: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
     """One candidate for each seed and context, the earliest; the others are marked as removed (kind 1)."""
     doc, place, h, c = (np.concatenate(v) for v in zip(*rows, strict=True))
     order = np.lexsort((place, doc, c, h))
+    order = order[_not_again(doc[order], place[order], h[order], c[order])]
     doc, place, h, c = doc[order], place[order], h[order], c[order]
     later = np.r_[False, (h[1:] == h[:-1]) & (c[1:] == c[:-1])] if len(h) else np.zeros(0, bool)
     # Marked rows aren't looked at again; any key spreads them.
@@ -124,7 +134,7 @@ def _seed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by seed, context, document and place: removed contexts (h null) and contested ones."""
-    last_h = last_c = None
+    last_h = last_c = last_at = None
     waiting: tuple[int, int, int] | None = None  # the only context so far of the seed that the last batch ended with
     for batch in batches:
         if not batch.num_rows:
@@ -132,6 +142,10 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, c, doc, place, later = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
         marked = (doc[later], place[later])
         h, c, doc, place = h[~later], c[~later], doc[~later], place[~later]
+        fresh = _not_again(doc, place, h, c)
+        if len(h) and (h[0], c[0], doc[0], place[0]) == last_at:
+            fresh[0] = False
+        h, c, doc, place = h[fresh], c[fresh], doc[fresh], place[fresh]
         out_h, out_doc, out_place, gone = [], [marked[0]], [marked[1]], len(marked[0])
         if len(h):
             new_h = np.r_[last_h is None or h[0] != last_h, h[1:] != h[:-1]]
@@ -160,7 +174,7 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out_h.append(h[reps])
             out_doc.append(doc[reps])
             out_place.append(place[reps])
-            last_h, last_c = h[-1], c[-1]
+            last_h, last_c, last_at = h[-1], c[-1], (h[-1], c[-1], doc[-1], place[-1])
         hs = np.concatenate([np.zeros(gone, np.int64), *out_h]) if out_h else np.zeros(gone, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(hs, mask=np.arange(len(hs)) < gone), pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place).astype(np.int32))], names=["h", "doc", "place"])
 
