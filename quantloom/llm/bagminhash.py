@@ -11,12 +11,13 @@ filled, so only those before it are drawn; where a register stays empty the limi
 BANDS bands of ROWS registers make candidates (a pair of similarity 0.8 is missed with probability 7e-6). Exact
 copies meet by a digest first, so a group of them is one row of each task. Then come rounds that compare only
 texts of different components, since more links inside one change nothing: in each bucket the texts outside
-its largest component are compared with one member of that component, another in each bucket and round, at
-first for some bands only. So a large group of near copies costs a few comparisons for each text. Once what
-is left outside is small (or ROUNDS are over), it is compared with all texts of other components in its
-buckets. Pairs whose sizes or whose sketches exclude a similarity of 0.8 are left out before (one bit of SKETCH
-registers; the bound is 4.5 standard deviations away). The comparison is of whole multisets. Components are
-found by minimum labels and pointer jumping.
+its largest component are compared with one member of that component, at first for some bands only, and in
+later rounds with about 4, 16, ... members, others in each bucket. So a large group of near copies costs some
+comparisons for each text. Once what is left outside is small (or ROUNDS are over), it is compared with all
+texts of other components in its buckets. Pairs whose sizes or whose sketches exclude a similarity of 0.8 are left
+out before: one bit of each of SKETCH registers, in the last round of FINE more registers of the texts that are
+left; the bounds are 4.5 standard deviations away. The comparison is of whole multisets. Components are found
+by minimum labels and pointer jumping.
 
 Defined cases: null texts are empty; a text of 1 to 4 words is one shingle; a text without words is linked to
 nothing but its exact copies; the class id is the least doc_id; a null doc_id counts as the least; rows
@@ -41,8 +42,12 @@ BANDS, ROWS = 30, 5
 REGISTERS = BANDS * ROWS
 #: Registers whose lowest bit makes the sketch, and how many of them may differ.
 SKETCH, SKETCH_MOST = 128, 28
-#: Bands of the first round, most rounds, and the pairs for each row of a shared bucket that the last one may ask for.
-FIRST_BANDS, ROUNDS, LAST_PAIRS = 4, 8, 1
+#: The same for the last round's sketch.
+FINE, FINE_MOST = 2048, 265
+#: Bands of the first round, most rounds, and the pairs for each row of a shared bucket that the last one may look at.
+FIRST_BANDS, ROUNDS, LAST_PAIRS = 4, 5, 256
+#: Hash values by which texts that nobody asks for are left out before a shuffle: the bound of what is broadcast.
+ASKED_BITS = 20
 BATCH = 1 << 18
 _NO_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
@@ -178,6 +183,23 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, texts, size = [], [], 0
 
 
+def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc and the sketch of FINE registers, as longs."""
+    for batch in batches:
+        ids, texts, size, n = [], [], 0, batch.num_rows
+        for i in range(n):
+            t = batch.column(1)[i].as_py()
+            ids.append(batch.column(0)[i].as_py())
+            texts.append(t)
+            size += len(t)
+            if size >= BATCH or len(texts) >= 128 or i == n - 1:
+                doc, shingle, count = shingle_counts(texts)
+                sig = signatures(doc, shingle, count, len(texts), FINE)
+                low = np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(low), pa.list_(pa.int64()))], names=["doc", "fine"])
+                ids, texts, size = [], [], 0
+
+
 def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of two multisets, given as sorted hashes and counts."""
     if not len(a[0]) or not len(b[0]):
@@ -238,9 +260,20 @@ def _may_match(a: str, b: str) -> Column:
 
 def _shared_rows(texts: DataFrame) -> DataFrame:
     """doc, weight, s0, s1, band, key of the texts in buckets of at least two."""
-    rows = texts.filter("weight > 0").select("doc", "weight", "s0", "s1", F.posexplode("bands").alias("band", "key"))
+    rows = texts.filter("weight > 0").select("doc", F.posexplode("bands").alias("band", "key"))
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "bag-keys")
-    return materialize(rows.join(keys, "key"), "bag-rows")
+    shared = materialize(rows.join(keys, "key"), "bag-shared")
+    return materialize(shared.join(texts.select("doc", "weight", "s0", "s1"), "doc"), "bag-rows")
+
+
+def _asked(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of base with these ids. Those whose hash none of the ids has go before the shuffle: at most
+    2 ** ASKED_BITS hash values are broadcast, whatever the number of ids."""
+    ids = materialize(ids.distinct(), "bag-ids")
+    at = lambda: F.pmod(F.xxhash64("doc"), F.lit(1 << ASKED_BITS)).cast("int")
+    seen = materialize(ids.select(at().alias("_at")).distinct(), "bag-hashes")
+    near = base.withColumn("_at", at()).join(F.broadcast(seen), "_at", "left_semi").drop("_at")
+    return materialize(near.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
 
 
 def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
@@ -252,17 +285,29 @@ def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
     return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1")]), "bag-open")
 
 
-def _star_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    met = rows.join(buckets.drop("n", "h_n"), (rows.key == buckets.key) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
+def _star_pairs(rows: DataFrame, buckets: DataFrame, turn: int) -> DataFrame:
+    """Candidate pairs of texts outside their bucket's largest component with one member of it, or from turn 2 on
+    with about 4 ** (turn - 1) members."""
+    if turn < 2:
+        heads = buckets.drop("n", "h_n")
+    else:
+        step = F.greatest(F.expr(f"h_n div {4 ** (turn - 1)}"), F.lit(1))
+        met = rows.join(buckets.select(F.col("key").alias("h_key"), "h_n", "h_comp"), (F.col("key") == F.col("h_key")) & (F.col("comp") == F.col("h_comp")) & (F.pmod(F.xxhash64("doc", "key", F.lit(turn)), step) == 0))
+        heads = materialize(met.select("key", "h_comp", *[F.col(c).alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1")]), "bag-heads")
+    met = rows.join(heads.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
     return met.select(F.least("h_doc", "doc").alias("a"), F.greatest("h_doc", "doc").alias("b")).distinct()
 
 
-def _last_pairs(rows: DataFrame, buckets: DataFrame) -> DataFrame:
+def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame) -> DataFrame:
     """Candidate pairs between texts outside their bucket's largest component and those of other components."""
     at = buckets.select(F.col("key").alias("x_key"), "h_comp")
-    out = materialize(rows.join(at, (F.col("key") == F.col("x_key")) & (F.col("comp") != F.col("h_comp"))).select("x_key", "h_comp", *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp")]), "bag-outside")
+    held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key", "band")
+    fine = asked.select("doc", "bytes").mapInArrow(_fine_rows, "doc bigint, fine array<bigint>")
+    held = materialize(held.join(fine, "doc"), "bag-held")
+    out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp", "fine")]), "bag-outside")
     asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
-    return rows.join(out, (F.col("key") == F.col("x_key")) & asks).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
+    differ = F.expr(" + ".join(f"bit_count(fine[{i}] ^ x_fine[{i}])" for i in range(FINE // 64)))
+    return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST)).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -272,7 +317,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     signed = materialize(base.mapInArrow(_signed_rows, "doc bigint, digest binary, weight bigint, bands array<bigint>, s0 bigint, s1 bigint"), "bag-signed")
     texts = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("weight", "bands", "s0", "s1"), "doc").alias("v")).select("digest", "doc", "v.*"), "bag-texts")
     rows = _shared_rows(texts)
-    asked = materialize(base.join(materialize(rows.select("doc").distinct(), "bag-ids"), "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
+    asked = _asked(base, rows.select("doc"))
     size, links, comps, turn = rows.count(), None, rows.select("doc").distinct().withColumn("comp", F.col("doc")), 0
     while size:
         placed = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if turn else rows.withColumn("comp", F.col("doc"))
@@ -281,10 +326,10 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if not left and turn:
             break
         last = turn > 1 and (left <= LAST_PAIRS * size or turn >= ROUNDS)
-        more = _verified((_last_pairs if last else _star_pairs)(placed, buckets), asked)
+        more = _verified(_last_pairs(placed, buckets, asked) if last else _star_pairs(placed, buckets, turn), asked)
         if not more.isEmpty():
             links = more if links is None else materialize(links.unionAll(more), "bag-all")
-            comps = materialize(components(links), "bag-comps")
+            comps = components(links)
         if last:
             break
         turn += 1
