@@ -505,14 +505,17 @@ def r5_roc_pr(s, d):
     return rounded(metrics.roc_pr_curve(fixtures.scored(s, d)))
 
 
-@register("r6_threshold_sweep", "select " + _r("threshold=i / 100.0;precision=coalesce(tp / nullif(tp + fp, 0), 0);recall=tp / (tp + fn);f1=coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0);accuracy=(tp + tn) / (tp + tn + fp + fn)") + " from (select i, count(*) filter (where y = 1 and proba * 100 + 1e-9 >= i) tp, count(*) filter (where y = 0 and proba * 100 + 1e-9 >= i) fp, count(*) filter (where y = 1 and proba * 100 + 1e-9 < i) fn, count(*) filter (where y = 0 and proba * 100 + 1e-9 < i) tn from scored, (select unnest(range(0, 101)) i) g group by i)")
+_SWEEP = "select " + _r("threshold=i / 100.0;precision=coalesce(tp / nullif(tp + fp, 0), 0);recall=tp / (tp + fn);f1=coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0);accuracy=(tp + tn) / (tp + tn + fp + fn)") + " from (select i, count(*) filter (where y = 1 and proba * 100 + 1e-9 >= i) tp, count(*) filter (where y = 0 and proba * 100 + 1e-9 >= i) fp, count(*) filter (where y = 1 and proba * 100 + 1e-9 < i) fn, count(*) filter (where y = 0 and proba * 100 + 1e-9 < i) tn from scored, (select unnest(range(0, 101)) i) g group by i)"
+
+
+@register("r6_threshold_sweep", _SWEEP)
 def r6_threshold_sweep(s, d):
     return rounded(metrics.threshold_sweep(fixtures.scored(s, d)))
 
 
-@register("r6_best_threshold")
+@register("r6_best_threshold", f"select * from ({_SWEEP}) s order by f1 desc, threshold limit 1")
 def r6_best_threshold(s, d):
-    return metrics.best_threshold(metrics.threshold_sweep(fixtures.scored(s, d)))
+    return metrics.best_threshold(rounded(metrics.threshold_sweep(fixtures.scored(s, d))))
 
 
 @register("r7_calibration", "select cast(len(list_filter(e, lambda x: x < proba)) as int) bin, count(*) n, " + _r("mean_pred=avg(proba);mean_y=avg(y)") + " from scored, (select quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) e from scored) q group by 1")
@@ -697,12 +700,25 @@ def e12_log_histogram(s, d):
     return explore.log_histogram(_cleaned(s, d), "size", 0.0, 2.5)
 
 
-@register("e13_scorecard")
+_CARD = dict(_LI) | dict(
+    dnum="select *, row_number() over (partition by ticker, date order by ts, k1, k2, k3, k4, k5) rn, sum(price * size) over (partition by ticker, date) / 300 lim from li",
+    dseg="""select ticker, date, rn, price * size cum, 0 bar_id, price * size >= lim is_full from dnum where rn = 1 union all
+      select n.ticker, n.date, n.rn, case when s.is_full then 0 else s.cum end + n.price * n.size, s.bar_id + cast(s.is_full as int), case when s.is_full then 0 else s.cum end + n.price * n.size >= lim from dseg s join dnum n on n.ticker = s.ticker and n.date = s.date and n.rn = s.rn + 1""",
+    dall="select n.*, cast(s.bar_id as bigint) bar_id, max(s.is_full) over (partition by n.ticker, n.date, s.bar_id) done from dnum n join dseg s on n.ticker = s.ticker and n.date = s.date and n.rn = s.rn",
+    kinds="select 'volume' bar_type, ln(arg_max(price, rn) / arg_min(price, rn)) r from liall where done group by ticker, date, bar_id union all select 'dollar', ln(arg_max(price, rn) / arg_min(price, rn)) from dall where done group by ticker, date, bar_id",
+    centred="select *, r - avg(r) over (partition by bar_type) x from kinds",
+    stats="select bar_type, count(*) n, abs(avg(pow(x, 3)) / pow(avg(x * x), 1.5)) skew, abs(avg(pow(x, 4)) / pow(avg(x * x), 2) - 3) kurtosis from centred group by bar_type",
+    goods="select bar_type, 'n' metric, cast(n as double) good from stats union all select bar_type, 'skew', -skew from stats union all select bar_type, 'kurtosis', -kurtosis from stats",
+    cards="select *, coalesce((good - min(good) over (partition by metric)) / nullif(max(good) over (partition by metric) - min(good) over (partition by metric), 0), 1) score, row_number() over (partition by metric order by good desc, bar_type) = 1 won from goods",
+)
+
+
+@register("e13_scorecard", "select bar_type, count(*) filter (where won) wins, " + _r("mean_score=avg(score)") + " from cards group by bar_type", **_CARD)
 def e13_scorecard(s, d):
     rows = fixtures.lineitem_trades(s, d)
     both = [explore.moments(bars.generic_bars(rows, m, 300, LI_ORDER), "return").withColumn("bar_type", F.lit(m)) for m in ("volume", "dollar")]
     cards = explore.scorecard(both[0].unionByName(both[1]).withColumns({"skew": F.abs("skew"), "kurtosis": F.abs("kurtosis")}), lower_is_better=("skew", "kurtosis"), higher_is_better=("n",))
-    return explore.votes(cards)
+    return rounded(explore.votes(cards))
 
 
 @register("e14_pca")
