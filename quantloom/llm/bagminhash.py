@@ -298,16 +298,18 @@ def _star_pairs(rows: DataFrame, buckets: DataFrame, turn: int) -> DataFrame:
     return met.select(F.least("h_doc", "doc").alias("a"), F.greatest("h_doc", "doc").alias("b")).distinct()
 
 
-def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame) -> DataFrame:
+def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs between texts outside their bucket's largest component and those of other components."""
     at = buckets.select(F.col("key").alias("x_key"), "h_comp")
-    held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key", "band")
+    held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key")
     fine = asked.select("doc", "bytes").mapInArrow(_fine_rows, "doc bigint, fine array<bigint>")
-    held = materialize(held.join(fine, "doc"), "bag-held")
-    out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp", "fine")]), "bag-outside")
+    held = materialize(held.join(fine, "doc").join(texts.select("doc", "bands"), "doc"), "bag-held")
+    out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp", "fine", "bands")]), "bag-outside")
     asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
     differ = F.expr(" + ".join(f"bit_count(fine[{i}] ^ x_fine[{i}])" for i in range(FINE // 64)))
-    return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST)).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
+    # Of all buckets that two texts of different components share, and in each of which one of them asks, the first counts.
+    earlier = F.expr(" + ".join(f"if(band > {i} and bands[{i}] = x_bands[{i}], 1, 0)" for i in range(BANDS)))
+    return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST) & (earlier == 0)).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:
@@ -326,7 +328,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if not left and turn:
             break
         last = turn > 1 and (left <= LAST_PAIRS * size or turn >= ROUNDS)
-        more = _verified(_last_pairs(placed, buckets, asked) if last else _star_pairs(placed, buckets, turn), asked)
+        more = _verified(_last_pairs(placed, buckets, asked, texts) if last else _star_pairs(placed, buckets, turn), asked)
         if not more.isEmpty():
             links = more if links is None else materialize(links.unionAll(more), "bag-all")
             comps = components(links)
