@@ -344,4 +344,4 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """docs without those that aren't the least of their class, with the columns they had."""
     gone = materialize(near_duplicate_classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "bag-gone")
-    return docs.join(gone, F.col("doc_id").cast("bigint") == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")

@@ -47,26 +47,27 @@ def _removals(docs: DataFrame, modulus: int, least: int) -> DataFrame:
     return rows.select("_digest", "doc_id", "_doc", "_k").join(repeated, "_digest").filter(~F.struct("doc_id", "_doc", "_k").eqNullSafe(F.col("_first"))).groupBy("_doc").agg(F.collect_set("_k").alias("_gone"))
 
 
-def dedup_lines(docs: DataFrame, modulus: int = MODULUS, least: int = LEAST_LINES) -> DataFrame:
-    """docs with the repeated chunks taken out of `text`, and n_lines, n_chunks, n_removed_chunks,
-    n_removed_lines."""
+def dedup_lines(docs: DataFrame, modulus: int = MODULUS, least: int = LEAST_LINES, report: bool = False) -> DataFrame:
+    """docs with the repeated chunks taken out of `text`. With report also n_lines, n_chunks, n_removed_chunks and
+    n_removed_lines, which replace columns of these names."""
     columns = docs.columns
-    assert not {"n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines"} & {c.lower() for c in columns}, "column names clash"
     gone = materialize(_removals(docs.select("doc_id", "text"), modulus, least), "line-removals")
-    out = _chunked(docs, modulus).join(gone, "_doc", "left").withColumn("_left", F.expr("array_except(sequence(0, size(_ends) - 1), coalesce(_gone, cast(array() as array<int>)))"))
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text")
+    out = _chunked(own, modulus).join(gone, "_doc", "left").withColumn("_left", F.expr("array_except(sequence(0, size(_ends) - 1), coalesce(_gone, cast(array() as array<int>)))"))
     part = f"array_join(slice(_lines, {_START} + 1, _ends[k] - ({_START}) + 1), '\\n')"
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(f"array_join(transform(_left, k -> {part}), '\\n')"))
-    removed = F.expr(f"aggregate(coalesce(_gone, cast(array() as array<int>)), 0L, (a, k) -> a + _ends[k] - ({_START}) + 1)")
-    return out.select(
-        *[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in columns],
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint").alias("n_lines"),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size("_ends")).cast("bigint").alias("n_chunks"),
-        F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("bigint").alias("n_removed_chunks"),
-        removed.alias("n_removed_lines"),
-    )
+    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")
+    counts = {
+        "n_lines": size("_lines"),
+        "n_chunks": F.when(F.col("text").isNull(), 0).otherwise(size("_ends")).cast("bigint"),
+        "n_removed_chunks": size("_gone"),
+        "n_removed_lines": F.expr(f"aggregate(coalesce(_gone, cast(array() as array<int>)), 0L, (a, k) -> a + _ends[k] - ({_START}) + 1)"),
+    }
+    kept = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns if not report or c.lower() not in counts]
+    return out.select(*kept, *[v.alias(k) for k, v in counts.items()]) if report else out.select(*kept)
 
 
 def report_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_sha256 of every document."""
-    out = dedup_lines(docs.select("doc_id", "text"))
+    out = dedup_lines(docs.select("doc_id", "text"), report=True)
     return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

@@ -322,5 +322,4 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those that the model rejects, with the columns they had."""
-    columns = docs.columns
-    return docs.withColumn("__toxicity", score(fit(docs, labels))).filter("__toxicity < 0.5").select(*[F.col(f"`{c}`") for c in columns])
+    return docs.filter(score(fit(docs, labels)) < 0.5)

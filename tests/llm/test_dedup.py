@@ -78,7 +78,7 @@ def near_rows():
 
 def test_near_duplicates(spark):
     rows = near_rows()
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as class_id", "'x' as comp", "'y' as key").repartition(5)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "1 as class_id", "'x' as comp", "'y' as key", "2 as _gone").repartition(5)
     got = {r.doc_id: r.class_id for r in bag.near_duplicate_classes(df).collect()}
     assert got == classes(rows)
     kept = bag.drop_near_duplicates(df)
@@ -164,8 +164,8 @@ def test_line_chunks(spark):
     pool = [f"line {k} of the pool" for k in range(60)]
     rows = [(i, "\n".join(pool[(a := r.randrange(50)) : a + r.randrange(12)] + [f"own {r.random()}" for _ in range(r.randrange(3))] + pool[:7] * r.randrange(2))) for i in range(40)]
     rows += [(50, ""), (51, None), (52, "\n\n\n"), (53, "same\n" * 40), (54, "same\n" * 40), (None, "\n".join(pool))]
-    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'keep' as _lines_", "7 as other").repartition(5)
-    got = {x.doc_id: x for x in linededup.dedup_lines(df).collect()}
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'keep' as _lines", "7 as other", "'x' as n_lines", "1 as _gone").repartition(5)
+    got = {x.doc_id: x for x in linededup.dedup_lines(df, report=True).collect()}
     seen, want = set(), {}
     for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
         if t is None:
@@ -183,5 +183,6 @@ def test_line_chunks(spark):
     assert sum(x.n_removed_lines for x in got.values()) > 20 and got[51].n_lines == 0
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf\ng")] * 2, "doc_id bigint, text string")
-    assert [x.n_removed_lines for x in linededup.dedup_lines(twice).collect()] == [0, 0]
-    assert linededup.dedup_lines(df).filter(F.col("other") == 7).count() == len(rows)
+    assert [x.n_removed_lines for x in linededup.dedup_lines(twice, report=True).collect()] == [0, 0]
+    plain = linededup.dedup_lines(df)
+    assert plain.columns == df.columns and plain.filter((F.col("other") == 7) & (F.col("n_lines") == "x")).count() == len(rows)
