@@ -61,3 +61,8 @@ def save_json(spark: SparkSession, value: dict, path: str) -> None:
 
 def load_json(spark: SparkSession, path: str) -> dict:
     return json.loads("\n".join(r[0] for r in spark.read.text(path).collect()))
+
+
+def copy_table(spark: SparkSession, source: str, target: str, compression: str = "zstd") -> None:
+    """The same Parquet table under another name."""
+    spark.read.parquet(source).write.mode("overwrite").option("compression", compression).parquet(target)

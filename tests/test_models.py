@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.models import forest, gmm, metrics, quantile_boost, scaling
+from quantloom.models import forest, gmm, metrics, persist, quantile_boost, scaling
 from quantloom.operators import backtest, explore
+from quantloom.sources import ticks
 from quantloom.streaming import ticks as stream
 
 
@@ -52,6 +53,23 @@ def test_forest_scores(points):
     assert [n for n, _ in forest.importances(model, ["a", "b"])][0] in ("a", "b")
 
 
+def test_models_survive_saving(spark, points, tmp_path):
+    rows = points.withColumn("y", (F.col("id") % 2).cast("int"))
+    mixture = gmm.fit(points, ["a", "b"], gmm.GMMParams(2, max_iter=2))
+    persist.save_mixture(spark, mixture, str(tmp_path / "m"), quantile=0.05)
+    same = lambda x, y: sorted(map(str, x.collect())) == sorted(map(str, y.collect()))
+    assert same(gmm.score(points, mixture), gmm.score(points, persist.load_mixture(spark, str(tmp_path / "m"))))
+    model, scaler = forest.fit(rows, ["a", "b"], trees=3, depth=2)
+    persist.save_forest(spark, model, scaler, ["a", "b"], str(tmp_path / "f"))
+    assert same(forest.score(rows, model, scaler, ["a", "b"]), forest.score(rows, *persist.load_forest(spark, str(tmp_path / "f"))))
+    boost = quantile_boost.train(points, ["a"], "b", 0.5, n_estimators=2, max_depth=2)
+    persist.save_boost(spark, boost, str(tmp_path / "b"))
+    assert same(boost.predict(points, "q"), persist.load_boost(spark, str(tmp_path / "b")).predict(points, "q"))
+    points.write.parquet(str(tmp_path / "t"))
+    ticks.copy_table(spark, str(tmp_path / "t"), str(tmp_path / "t_copy"))
+    assert same(points, spark.read.parquet(str(tmp_path / "t_copy")))
+
+
 def test_finite_rows_and_scaler(spark):
     df = spark.createDataFrame([(1.0,), (3.0,), (None,), (float("nan"),), (float("inf"),)], "x double")
     kept = scaling.finite_rows(df, ["x"])
