@@ -68,7 +68,7 @@ def lace(frames: list[bytes], kind: int) -> bytes:
     if kind == 1:
         for n in sizes[:-1]:
             head += b"\xff" * (n // 255) + bytes([n % 255])
-    elif kind == 3:
+    elif kind == 3 and len(sizes) > 1:  # the size of the last frame, and so of a single one, isn't stored
         head += encode_size(sizes[0])
         for a, b in zip(sizes, sizes[1:-1], strict=False):
             head += encode_signed(b - a)
@@ -412,9 +412,12 @@ def media_features(df: DataFrame) -> DataFrame:
             out = []
             for k, text in zip(cols["doc_id"], cols["text"], strict=True):
                 data = text.encode()
-                media = mux(padded(data))
+                payload = padded(data)
+                media = mux(payload)
                 m = parse(media)
                 back = track_bytes(media, m)
+                if back != payload:
+                    raise ValueError(f"the media of document {k} doesn't give its {len(payload)} bytes back")
                 out.append((k, len(data), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(m), len(m.packets)))
             return dict(zip(names, map(list, zip(*out, strict=True)), strict=True)) if out else {n: [] for n in names}
 

@@ -25,6 +25,14 @@ def test_round_trip(data):
     assert len(m.cues) == len(m.clusters) and all(c[2] in m.clusters for c in m.cues)
 
 
+def test_round_trip_of_every_length():
+    data = random.Random(6).randbytes(20_032)
+    for n in range(64, len(data) + 1, 64):
+        m = mk.parse(media := mk.mux(data[:n]))
+        assert mk.track_bytes(media, m) == data[:n]
+        assert sum(p.size for p in m.packets) == n
+
+
 def test_foreign_layouts():
     """Unknown sizes, voids, all lacing kinds with odd sizes, negative times and reference blocks."""
     u, e = mk.unsigned, mk.element
