@@ -11,7 +11,10 @@ Sorting every suffix of the corpus would shuffle many times the input, so an exa
 3. Their bytes, in two halves keyed by the 66 bytes that all windows of a half share, meet by that key. Each
    block of them gets a suffix array by the difference-cover algorithm (Karkkainen and Sanders 2003): sort the
    sampled triples, recurse on their names, merge the remaining suffixes. Adjacent suffixes are compared for
-   LENGTH bytes, and of each run of equal windows all but the earliest are removed.
+   LENGTH bytes, and of each run of equal windows all but the earliest are removed. A seed with more contexts
+   than one array may hold (a passage of a great many documents, with other text around it) goes window by
+   window instead: each task keeps the earliest place of each window and marks the later ones, and what is left
+   meets by the whole window. So no array is over twice BLOCK bytes.
 
 Bytes are compared in step 3; in step 2 contexts are equal if two 64-bit hashes are. Texts are shuffled once
 (the exchange by doc_id is used twice), seeds once.
@@ -35,8 +38,9 @@ from ._common import materialize, ship, text_or_empty
 LENGTH, SEED = 100, 32
 REACH = LENGTH - SEED  # bytes before a seed that its windows can reach
 HALF = REACH // 2
-#: Bytes hashed together, seeds a task holds before it emits them, bytes of one suffix array.
-BATCH, HELD, BLOCK = 1 << 16, 4_000_000, 2 << 20
+#: Bytes hashed together, seeds a task holds before it emits them, bytes of one suffix array, single windows a
+#: task holds.
+BATCH, HELD, BLOCK, HELD_WINDOWS = 1 << 16, 4_000_000, 2 << 20, 1 << 17
 _NO_ID = -(1 << 63)
 _rng = np.random.default_rng(7)
 _BYTE = _rng.integers(1, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -179,14 +183,53 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hs, mask=np.arange(len(hs)) < gone), pa.array(np.concatenate(out_doc)), pa.array(np.concatenate(out_place).astype(np.int32))], names=["h", "doc", "place"])
 
 
+def _runs(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, first and last start of the runs of windows that start next to each other."""
+    order = np.lexsort((start, doc))
+    doc, start = doc[order], start[order]
+    new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
+    lead = np.flatnonzero(new)
+    return doc[lead], start[lead], start[np.r_[lead[1:], len(doc)] - 1]
+
+
+def _parts_batch(keys, docs, starts, lasts, parts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(lasts, pa.int32()), pa.array(parts, pa.binary())], names=["key", "doc", "start", "last", "part"])
+
+
+def _window_rows(held: dict[bytes, tuple[int, int]], later: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """The earliest place of each window held, and the runs of later ones, which have no bytes."""
+    if held:
+        docs, starts = zip(*held.values(), strict=True)
+        yield _parts_batch([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "big", signed=True) for w in held], docs, starts, starts, list(held))
+    if later:
+        doc, start, last = _runs(*np.array(later, np.int64).T)
+        # These rows aren't compared again; any key spreads them.
+        yield _parts_batch(_mix((doc * 31 + start).view(np.uint64)).view(np.int64), doc, start, last, [None] * len(doc))
+
+
 def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From documents with contested places: both halves of each context, with the hash of what they share."""
+    """From documents with contested places: both halves of each context, with the hash of what they share;
+    of hot seeds the single windows."""
+    held: dict[bytes, tuple[int, int]] = {}
+    later: list[tuple[int, int]] = []
     for batch in batches:
         keys, docs, starts, parts = [], [], [], []
         for i in range(batch.num_rows):
             doc, t, marks = batch.column(0)[i].as_py(), batch.column(1)[i].as_py(), batch.column(2)[i].as_py()
             for m in marks:
                 p, h = m["place"], m["h"]
+                if m["hot"]:
+                    for a in range(max(p - REACH, 0), min(p, len(t) - LENGTH) + 1):
+                        w, at = t[a : a + LENGTH], (doc, a)
+                        first = held.setdefault(w, at)
+                        if at < first:
+                            held[w] = at
+                        if at != first:
+                            later.append(max(at, first))
+                    if len(held) + len(later) >= HELD_WINDOWS:
+                        yield from _window_rows(held, later)
+                        held, later = {}, []
+                    continue
                 for a, b, c, d in ((p - HALF, p + LENGTH, p, p + LENGTH - HALF), (p - REACH, p + LENGTH - HALF, p - HALF, p + SEED)):
                     if c >= 0 and d <= len(t):  # else no window of this half fits into the text
                         a, b = max(a, 0), min(b, len(t))
@@ -195,7 +238,8 @@ def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                             docs.append(doc)
                             starts.append(a)
                             parts.append(t[a:b])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(docs, pa.int64()), pa.array(starts, pa.int32()), pa.array(parts, pa.binary())], names=["key", "doc", "start", "part"])
+        yield _parts_batch(keys, docs, starts, starts, parts)
+    yield from _window_rows(held, later)
 
 
 def _order(keys: np.ndarray, most: int) -> np.ndarray:
@@ -308,7 +352,8 @@ def repeated_windows(docs: np.ndarray, starts: np.ndarray, parts: list[bytes], l
 
 
 def _contested_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From fragments sorted by key: runs of removed windows (doc, from, to), block by block."""
+    """From fragments sorted by key: runs of removed windows (doc, from, to), block by block. Rows without bytes
+    are such runs already."""
 
     def block(keys, docs, starts, parts):
         keys = np.concatenate(keys)
@@ -336,19 +381,18 @@ def _contested_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         doc, start = np.r_[doc, copied[0]], np.r_[start, copied[1]]
         if not len(doc):
             return None
-        order = np.lexsort((start, doc))
-        doc, start = doc[order], start[order]
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + 1)]
-        lead = np.flatnonzero(new)
-        end = np.r_[lead[1:], len(doc)] - 1
-        return pa.RecordBatch.from_arrays([pa.array(doc[lead]), pa.array(start[lead].astype(np.int32)), pa.array(start[end].astype(np.int32))], names=["doc", "start", "last"])
+        doc, start, last = _runs(doc, start)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc", "start", "last"])
 
     keys, docs, starts, parts, size = [], [], [], [], 0
     for batch in batches:
+        if batch.column(4).null_count:
+            yield batch.filter(batch.column(4).is_null()).select(["doc", "start", "last"])
+            batch = batch.filter(batch.column(4).is_valid())
         if not batch.num_rows:
             continue
         k = batch.column(0).to_numpy()
-        d, s, p = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(3).to_pylist()
+        d, s, p = batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(4).to_pylist()
         cuts = np.flatnonzero(np.r_[not keys or k[0] != keys[-1][-1], k[1:] != k[:-1]])
         ends = np.cumsum([len(x) for x in p])
         at = 0
@@ -390,16 +434,23 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(out[k], pa.int64()) for k in ("n_bytes", "n_removed", "n_spans")], pa.array(out["kept"], pa.binary())], names=["doc", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def _parts(base: DataFrame, met: DataFrame, block: int) -> DataFrame:
+    """The fragments of contested contexts; the bytes of those that share a key are no more than `block`."""
+    marks = met.filter("h is not null")
+    # The hot seeds are no more than the contested places divided by the contexts that one array may hold.
+    hot = marks.groupBy("h").count().filter(F.col("count") > block // (LENGTH + HALF)).select("h", F.lit(True).alias("hot"))
+    marks = marks.join(F.broadcast(hot), "h", "left").groupBy("doc").agg(F.collect_list(F.struct("place", "h", F.coalesce("hot", F.lit(False)).alias("hot"))).alias("marks"))
+    return base.join(marks, "doc").select("doc", "bytes", "marks").mapInArrow(_fragments, "key bigint, doc bigint, start int, last int, part binary")
+
+
+def remove_repeats(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes) of every document."""
     ship(docs.sparkSession)
     base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), text_or_empty().cast("binary").alias("bytes"))
     rows = base.mapInArrow(_seed_rows, "h bigint, c bigint, doc bigint, place int, later boolean")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     met = materialize(rows.repartition(n, "h").sortWithinPartitions("h", "c", "doc", "place").mapInArrow(_met, "h bigint, doc bigint, place int"), "suffix-met")
-    contested = met.filter("h is not null").groupBy("doc").agg(F.collect_list(F.struct("place", "h")).alias("marks"))
-    parts = base.join(contested, "doc").select("doc", "bytes", "marks").mapInArrow(_fragments, "key bigint, doc bigint, start int, part binary")
-    windows = parts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_contested_windows, "doc bigint, start int, last int")
+    windows = _parts(base, met, block).repartition(n, "key").sortWithinPartitions("key").mapInArrow(_contested_windows, "doc bigint, start int, last int")
     spans = windows.select("doc", "start", (F.col("last") + LENGTH).alias("stop")).unionByName(met.filter("h is null").select("doc", (F.col("place") - REACH).alias("start"), (F.col("place") + LENGTH).alias("stop")))
     spans = spans.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     out = base.join(spans, "doc", "left").select("doc", "bytes", "spans").mapInArrow(_kept, "doc bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")

@@ -147,6 +147,26 @@ def test_repeated_strings_in_small_blocks(spark, monkeypatch):
     assert set(zip(doc.tolist(), start.tolist(), strict=True)) == want
 
 
+def test_repeated_strings_of_hot_keys(spark, monkeypatch):
+    """One passage with other text before and after it in each document: no key has more bytes than an array may hold."""
+    r = random.Random(8)
+    passage = "".join(r.choices("abcdefgh ", k=300))
+    rows = [(i, "".join(r.choices("ijklmnop ", k=r.randrange(60, 200))) + passage[r.choice([0, 0, 7]) :] + "".join(r.choices("qrstuv ", k=r.randrange(150)))) for i in range(120)]
+    sizes, parts = [], suffix._parts
+
+    def watched(*args):
+        out = parts(*args)
+        sizes.append(out.groupBy("key").agg(F.sum(F.length("part")).alias("n")).agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(suffix, "_parts", watched)
+    df = spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string").repartition(6)
+    for block in (4000, suffix.BLOCK):  # hot keys, and none
+        got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in suffix.remove_repeats(df, block).collect()}
+        assert got == removed(rows)
+    assert sizes[0] <= 4000 < sizes[1]
+
+
 def line_chunks(text):
     lines, out, h0, cur = text.split("\n"), [], 0, []
     for i, line in enumerate(lines):
