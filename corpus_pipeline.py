@@ -25,8 +25,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go from the texts; every document stays."""
-    return _sized(linededup.dedup_lines(docs), docs.columns)
+    """Repeated passages of two or more lines go from the texts; every document stays."""
+    return _sized(linededup.dedup_passages(docs), docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,9 @@ chunk number). Chunks meet by md5; the bytes are compared as well: of all texts
 and the greatest must be the same, otherwise none of them is removed. All of this is aggregated before and
 after the exchange, so a passage of a third of all documents is no more than one row of each task.
 
+Borders that two lines decide leave most passages of 2 to 10 lines where they are. That is the rule of op5's SQL;
+the pipeline uses dedup_passages, which compares all pairs of adjacent lines and has no borders.
+
 Defined cases: null texts stay null and have no lines; an empty text is one line; rows with equal doc_id and
 text count as one document and are treated alike; rows with a null doc_id are compared like the others, null
 first; an empty table gives no rows; other columns pass through. Native: DataFrame and SQL functions only.
@@ -67,6 +70,35 @@ def dedup_lines(docs: DataFrame, modulus: int = MODULUS, least: int = LEAST_LINE
     return out.select(*kept, *[v.alias(k) for k, v in counts.items()]) if report else out.select(*kept)
 
 
+def _pair_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, _doc, _from, _to, _pair (the text) of each worded line with the next worded one and what is between."""
+    lines = docs.filter("text is not null").withColumn("_doc", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("_lines", F.split("text", "\n"))
+    worded = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.btrim(F.col("_lines")[i], F.lit(SPACE_CHARS)) != "")
+    lines = lines.withColumn("_at", worded).filter(F.size("_at") > 1)
+    pairs = lines.selectExpr("doc_id", "_doc", "_lines", "explode(transform(sequence(0, size(_at) - 2), k -> named_struct('_from', _at[k], '_to', _at[k + 1]))) as _p")
+    return pairs.selectExpr("doc_id", "_doc", "_p._from", "_p._to", "array_join(slice(_lines, _p._from + 1, _p._to - _p._from + 1), '\n') as _pair")
+
+
+def dedup_passages(docs: DataFrame) -> DataFrame:
+    """docs without the lines of any passage of two or more lines with words that occurs earlier, wherever it starts.
+
+    A passage is covered by its overlapping pairs of lines. Pairs meet and are compared as chunks are; the lines of
+    a pair go at all places but the first, and but places in the first's own document that overlap it. So the first
+    place of each line stays."""
+    place = F.struct("doc_id", "_doc", "_from", "_to")
+    rows = _pair_rows(docs.select("doc_id", "text")).withColumn("_digest", F.md5(F.col("_pair").cast("binary")))
+    met = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_pair").alias("_least"), F.max("_pair").alias("_most"))
+    repeated = materialize(met.filter("_first != _last and _least = _most").select("_digest", "_first"), "passage-repeats")
+    later = rows.drop("_pair").join(repeated, "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
+    gone = materialize(later.groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(_from, _to)")))).alias("_gone")), "passage-removals")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_doc"), F.col("text").alias("_text"))
+    lines = F.split("_text", "\n")
+    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i)), "\n")
+    out = own.join(gone, "_doc", "left").withColumn("_lines", lines)
+    text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(left)
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+
+
 def report_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_sha256 of every document."""
     out = dedup_lines(docs.select("doc_id", "text"), report=True)

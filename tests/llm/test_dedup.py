@@ -206,3 +206,40 @@ def test_line_chunks(spark):
     assert [x.n_removed_lines for x in linededup.dedup_lines(twice, report=True).collect()] == [0, 0]
     plain = linededup.dedup_lines(df)
     assert plain.columns == df.columns and plain.filter((F.col("other") == 7) & (F.col("n_lines") == "x")).count() == len(rows)
+
+
+def without_passages(rows):
+    """Plain version of dedup_passages over (doc_id, text), and how many lines go."""
+    first, out, total = {}, {}, 0
+    for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
+        lines = [] if t is None else t.split("\n")
+        at, gone = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")], set()
+        for a, b in zip(at, at[1:], strict=False):
+            doc, _, end = first.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
+            if doc != i or a > end:
+                gone |= set(range(a, b + 1))
+        out[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        total += len(gone)
+    return out, total
+
+
+def passage_rows():
+    r = random.Random(9)
+    passages = [[f"line {k} of passage {p}" for k in range(n)] for p, n in enumerate([2, 2, 3, 4, 5, 7, 10])]
+    passages.append(["a", "", "b", " ", "c"])
+    rows = [(i, "\n".join([f"own {r.random()}" for _ in range(r.randrange(1, 5))] + r.choice(passages) + [f"own {r.random()}"])) for i in range(80)]
+    return rows + [(90, ""), (91, None), (92, "\n\n\n"), (93, "same\n" * 40), (94, "one line"), (95, "one line"), (None, "\n".join(passages[4]))]
+
+
+def test_passages_in_other_text(spark):
+    import corpus_pipeline as cp
+
+    rows = passage_rows()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'keep' as _lines", "7 as _gone", "length(text) as n_chars").repartition(5)
+    got = cp.dedup_lines(spark, df, "")
+    want, gone = without_passages(rows)
+    assert got.columns == df.columns and {x.doc_id: x.text for x in got.collect()} == want
+    assert gone > 200 and not any(x.n_chars != len(x.text or "") for x in got.collect() if x.text)
+    assert cp.dedup_lines(spark, df.limit(0), "").count() == 0
+    twice = spark.createDataFrame([(1, "a\nb\nc")] * 2, "doc_id bigint, text string")
+    assert [x.text for x in linededup.dedup_passages(twice).collect()] == ["a\nb\nc"] * 2
