@@ -9,7 +9,9 @@ CONFIDENCE_MISS / (strata x scores x cutoffs), Bonferroni's correction. So with
 too few to prove any cutoff, none is used there.
 
 The counts come from arrays inside a row, without exploding words: a window's hash and place share one long, so
-sorting longs brings equal windows together; equal hashes are compared word by word.
+sorting longs brings equal windows together. Neighbours of equal hash are compared word by word; a text in which
+any two of them differ (or that has more words than a long's place can tell) has its windows sorted by their
+words instead, so the counts are exact whatever the hash.
 
 Defined cases: null and empty texts have no words and fail the base rules; a null language is a stratum;
 labels of repeated doc_ids count once (the highest label); repeated rows give repeated results; an empty
@@ -28,13 +30,15 @@ SYMBOLS = "#*$%&|<>"
 SCORES = ("symbol_share", "dup_line_share", "repeat_share")
 #: Cutoffs of each score.
 GRID = (0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8)
-#: Low bits of a window's long that hold its place: texts of up to 67 million words.
+#: Low bits of a window's long that hold its place. Longer texts, and those with colliding hashes, sort the windows' words.
 PLACE_BITS = 26
 _PLACE = (1 << PLACE_BITS) - 1
 
 
-def count_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every text."""
+def count_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), hash_mask: int = ~_PLACE) -> DataFrame:
+    """`keep`, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines of every text. hash_mask: the bits
+    of a window's hash that are used; any number of them gives the same counts."""
+    hash_mask &= ~_PLACE
     base = docs.select(*[F.col(f"`{c}`") for c in keep], text_or_empty().alias("_text"))
     base = base.withColumn("_trim", F.btrim("_text", F.lit(SPACE_CHARS)))
     base = base.withColumn("_w", F.when(F.col("_trim") == "", F.array().cast("array<string>")).otherwise(F.split("_trim", f"[{SPACE_CLASS}]+")))
@@ -47,12 +51,18 @@ def count_features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> Data
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         F.col("_w"),
-        F.when(F.size("_w") >= 3, F.expr(f"sort_array(transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & {~_PLACE}L) | i))")).otherwise(F.array().cast("array<bigint>")).alias("_g"),
+        F.when(F.size("_w") >= 3, F.expr(f"sort_array(transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & {hash_mask}L) | (i & {_PLACE}L)))")).otherwise(F.array().cast("array<bigint>")).alias("_g"),
     )
-    same = f"(({{0}} ^ {{1}}) & {~_PLACE}L) = 0 and _w[cast({{0}} & {_PLACE}L as int)] = _w[cast({{1}} & {_PLACE}L as int)] and _w[cast({{0}} & {_PLACE}L as int) + 1] = _w[cast({{1}} & {_PLACE}L as int) + 1] and _w[cast({{0}} & {_PLACE}L as int) + 2] = _w[cast({{1}} & {_PLACE}L as int) + 2]"
-    twice = f"filter(_g, (x, i) -> (i > 0 and {same.format('x', '_g[i - 1]')}) or (i < size(_g) - 1 and {same.format('x', '_g[i + 1]')}))"
-    base = base.withColumn("_at", F.expr(f"sort_array(transform({twice}, x -> x & {_PLACE}L))"))
-    covered = F.expr("aggregate(transform(_at, (p, i) -> if(i < size(_at) - 1, least(3L, _at[i + 1] - p), 3L)), 0L, (a, x) -> a + x)")
+    # For each neighbour in that order: 0 another hash, 1 the same window, 2 the same hash of another window.
+    place = lambda g: f"cast({g} & {_PLACE}L as int)"
+    words = " and ".join(f"_w[{place('_g[i]')} + {k}] = _w[{place('_g[i - 1]')} + {k}]" for k in range(3))
+    base = base.withColumn("_e", F.expr(f"if(size(_g) < 2, cast(array() as array<int>), transform(sequence(1, size(_g) - 1), i -> if(((_g[i] ^ _g[i - 1]) & {~_PLACE}L) != 0, 0, if({words}, 1, 2))))"))
+    by_hash = f"transform(filter(_g, (x, i) -> (i > 0 and _e[i - 1] = 1) or (i < size(_e) and _e[i] = 1)), x -> {place('x')})"
+    by_words = "transform(sequence(0, size(_w) - 3), i -> named_struct('a', _w[i], 'b', _w[i + 1], 'c', _w[i + 2], 'i', i))"
+    same = "(g[{0}].a = g[{1}].a and g[{0}].b = g[{1}].b and g[{0}].c = g[{1}].c)"
+    exact = f"flatten(transform(array(sort_array({by_words})), g -> transform(filter(g, (x, i) -> (i > 0 and {same.format('i', 'i - 1')}) or (i < size(g) - 1 and {same.format('i', 'i + 1')})), x -> x.i)))"
+    base = base.withColumn("_at", F.expr(f"sort_array(if(array_contains(_e, 2) or size(_w) > {_PLACE}, {exact}, {by_hash}))"))
+    covered = F.expr("aggregate(transform(_at, (p, i) -> cast(if(i < size(_at) - 1, least(3, _at[i + 1] - p), 3) as bigint)), 0L, (a, x) -> a + x)")
     return base.select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"), "n_lines")
 
 
@@ -74,10 +84,11 @@ def _log_gamma(z: str) -> str:
 
 
 def binomial_cdf(x: str, n: str, p: float) -> str:
-    """SQL for P(Bin(n, p) <= x): exact up to terms beyond 20,000 below x, which are under 1e-80 of the sum."""
+    """SQL for P(Bin(n, p) <= x), x <= n * p. The term k steps below x is at most exp(-k * k / (2 * x)) of the one at
+    x, so those left out, more than 40 roots of x below, are under exp(-800): exact in doubles for any n."""
     log_top = f"{_log_gamma(f'({n} + 1)')} - {_log_gamma(f'({x} + 1)')} - {_log_gamma(f'({n} - {x} + 1)')} + {x} * ln({p!r}D) + ({n} - {x}) * ln(1 - {p!r}D)"
     step = f"named_struct('t', a.t * k * {1 - p!r}D / (({n} - k + 1) * {p!r}D), 's', a.s + a.t * k * {1 - p!r}D / (({n} - k + 1) * {p!r}D))".replace("{1 - p!r}", repr(1 - p))
-    down = f"aggregate(if({x} > 0, sequence({x}, greatest(1L, {x} - 20000), -1L), cast(array() as array<bigint>)), named_struct('t', 1.0D, 's', 1.0D), (a, k) -> {step}, a -> a.s)"
+    down = f"aggregate(if({x} > 0, sequence({x}, greatest(1L, {x} - 40 * cast(ceil(sqrt({x})) as bigint) - 40), -1L), cast(array() as array<bigint>)), named_struct('t', 1.0D, 's', 1.0D), (a, k) -> {step}, a -> a.s)"
     return f"exp({log_top}) * {down}"
 
 

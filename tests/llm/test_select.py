@@ -91,8 +91,17 @@ def test_quality_counts(spark):
     assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
 
 
+@pytest.mark.parametrize("mask", [0, 3 << 40])
+def test_quality_counts_with_colliding_hashes(spark, mask):
+    r = random.Random(17)
+    texts = [" ".join(r.choices("abcdef", k=r.randint(0, 120))) for _ in range(60)] + [" ".join(f"w{i % 7001}" for i in range(20_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {g.doc_id: (g.n_words, g.word_chars, g.n_symbols, g.n_dup_lines, g.n_repeat_words) for g in quality.count_features(df, hash_mask=mask).collect()}
+    assert got == {i: brute_counts(t) for i, t in enumerate(texts)}
+
+
 def test_binomial_tail(spark):
-    for n, x, p in [(1, 0, 0.01), (500, 3, 0.01), (1000, 0, 0.01), (20000, 150, 0.01), (3000, 29, 0.01), (50, 10, 0.3)]:
+    for n, x, p in [(1, 0, 0.01), (500, 3, 0.01), (1000, 0, 0.01), (20000, 150, 0.01), (3000, 29, 0.01), (50, 10, 0.3), (4_000_000, 39_000, 0.01)]:
         got = spark.range(1).selectExpr(f"cast({n} as bigint) n", f"cast({x} as bigint) x").select(F.expr(quality.binomial_cdf("x", "n", p))).first()[0]
         want = sum(math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log(1 - p)) for k in range(x + 1))
         assert got == pytest.approx(want, rel=1e-8)
@@ -141,7 +150,8 @@ def test_shards(spark):
         assert slots == list(range(len(slots))) and len(slots) in (126, 127, 125)
     sizes = collections.Counter(r.shard for r in a)
     assert max(sizes.values()) - min(sizes.values()) <= 1
-    assert all(r["size"] == len((t or "").encode()) + 1 for r, t in [(r, "t" * (r["size"] - 1)) for r in a])
+    plain = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows]
+    assert sorted(map(str, plain)) == sorted(str((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard)) for r in a)
     assert sharding.shard_documents(df.limit(0)).count() == 0
     # Uniform: over seeds, each shard gets a row about equally often.
     few = spark.createDataFrame([(i, "x") for i in range(16)], "doc_id bigint, text string")
