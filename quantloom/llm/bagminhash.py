@@ -2,11 +2,11 @@
 
 A text is the multiset of its five-word shingles. BagMinHash (Ertl 2018): every shingle owns one Poisson process
 over [0, infinity) of weights, cut into the dyadic intervals [0, 1), [1, 2), [2, 4), [4, 8), ...; an interval's
-points come in order of time at a rate of its length, and each point goes down the halves of its interval by
-the bits of its hash, so those above the shingle's count are left out without being drawn one by one. A point
-falls into one register; a register keeps its first point. Two texts agree in a register with probability
-sum(min) / sum(max) of their counts. Points past a text's time limit can't be first once all registers are
-filled, so only those before it are drawn; where a register stays empty the limit doubles.
+points come in order of time at a rate of its length. A point goes down the halves of its interval by the bits of a
+hash of its own, one bit a level; points above the shingle's count are then rejected, which at most doubles the
+points of the last interval. A point falls into one register; a register keeps its first point. Two texts agree in
+a register with probability sum(min) / sum(max) of their counts. Points past a text's time limit can't be first once
+all registers are filled, so only those before it are drawn; where a register stays empty the limit doubles.
 
 BANDS bands of ROWS registers make candidates (a pair of similarity 0.8 is missed with probability 7e-6). Exact
 copies meet by a digest first, so a group of them is one row of each task. Then come rounds that compare only
@@ -19,14 +19,17 @@ out before: one bit of each of SKETCH registers, in the last round of FINE more
 left; the bounds are 4.5 standard deviations away. The comparison is of whole multisets. Components are found
 by minimum labels and pointer jumping.
 
+A text is known by 128 bits of its sha256, so a doc_id may have several texts and a text several doc_ids. Texts are
+numbered in the order of their least doc_id (null first), then digest; all steps above work on these numbers.
+
 Defined cases: null texts are empty; a text of 1 to 4 words is one shingle; a text without words is linked to
-nothing but its exact copies; the class id is the least doc_id; a null doc_id counts as the least; rows
-that repeat a doc_id are one document; an empty table gives no rows.
+nothing but its exact copies; the class id is the least doc_id of its first text, null if that has none, and
+class_text (that text's digest) tells classes apart whose first texts share a doc_id; rows that repeat doc_id and
+text get the same result, and drop_near_duplicates keeps one of them; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections import OrderedDict
 from collections.abc import Iterator
 
@@ -49,7 +52,6 @@ FIRST_BANDS, ROUNDS, LAST_PAIRS = 4, 5, 256
 #: Hash values by which texts that nobody asks for are left out before a shuffle: the bound of what is broadcast.
 ASKED_BITS = 20
 BATCH = 1 << 18
-_NO_ID = -(1 << 63)
 _rng = np.random.default_rng(11)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -125,7 +127,7 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
             j += 1
         d, h, w, j = (np.concatenate(v) for v in zip(*parts, strict=True))
         low = np.where(j > 0, 1 << np.maximum(j - 1, 0), 0)
-        span = np.where(j > 0, low, 1)
+        span, levels = np.where(j > 0, low, 1), np.maximum(j - 1, 0).astype(np.uint64)
         h = _mix(h + _mix(j.astype(np.uint64) + np.uint64(1)))
         t, k = np.zeros(len(d)), 0
         while len(d):
@@ -133,10 +135,13 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
             p = _mix(h + np.uint64(k * int(_BASE) & (1 << 64) - 1))
             t = t - np.log(((p >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / span
             live = t <= limit[d]
-            d, h, w, low, span, t, p = d[live], h[live], w[live], low[live], span[live], t[live], p[live]
+            d, h, w, low, span, levels, t, p = d[live], h[live], w[live], low[live], span[live], levels[live], t[live], p[live]
             q = _mix(p)
-            # The high bits choose the half at each step down; together they are the place in the interval.
-            inside = low + ((q >> np.uint64(40)).astype(np.int64) * span >> 24) < w
+            # Its highest bit chooses the half of the interval, the next one the quarter, ...: as many as the interval has levels.
+            inside = np.ones(len(d), bool)
+            wide = np.flatnonzero(span > 1)
+            halves = _mix(q[wide] ^ _BASE) >> (np.uint64(64) - levels[wide])
+            inside[wide] = low[wide] + halves.astype(np.int64) < w[wide]
             register = ((q & np.uint64((1 << 32) - 1)) * np.uint64(registers) >> np.uint64(32)).astype(np.int64)
             cell = (d * registers + register)[inside]
             np.minimum.at(first.reshape(-1), cell, t[inside])
@@ -152,10 +157,9 @@ def signatures(doc: np.ndarray, shingle: np.ndarray, count: np.ndarray, texts: i
 
 def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, texts, size, n = [], [], 0, batch.num_rows
+        texts, size, at, n = [], 0, 0, batch.num_rows
         for i in range(n):
-            t = batch.column(1)[i].as_py()
-            ids.append(batch.column(0)[i].as_py())
+            t = batch.column(2)[i].as_py()
             texts.append(t)
             size += len(t)
             if size >= BATCH or i == n - 1:
@@ -171,8 +175,8 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total = np.bincount(doc, count, len(texts)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
-                        pa.array([hashlib.blake2b(t, digest_size=16).digest() for t in texts], pa.binary()),
+                        batch.column(0).slice(at, len(texts)),
+                        batch.column(1).slice(at, len(texts)),
                         pa.array(total),
                         pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())),
                         pa.array(low[:, 0]),
@@ -180,11 +184,11 @@ def _signed_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ],
                     names=["doc", "digest", "weight", "bands", "s0", "s1"],
                 )
-                ids, texts, size = [], [], 0
+                texts, size, at = [], 0, i + 1
 
 
 def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc and the sketch of FINE registers, as longs."""
+    """tid and the sketch of FINE registers, as longs."""
     for batch in batches:
         ids, texts, size, n = [], [], 0, batch.num_rows
         for i in range(n):
@@ -196,7 +200,7 @@ def _fine_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 doc, shingle, count = shingle_counts(texts)
                 sig = signatures(doc, shingle, count, len(texts), FINE)
                 low = np.packbits((sig & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(low), pa.list_(pa.int64()))], names=["doc", "fine"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(list(low), pa.list_(pa.int64()))], names=["tid", "fine"])
                 ids, texts, size = [], [], 0
 
 
@@ -231,24 +235,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of distinct candidate pairs (a, b) that are similar enough."""
-    both = materialize(pairs, "bag-pairs").join(texts.select(F.col("doc").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("doc").alias("b"), F.col("bytes").alias("tb")), "b")
+    both = materialize(pairs, "bag-pairs").join(texts.select(F.col("tid").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("bytes").alias("tb")), "b")
     compared = both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint, similarity double")
     return materialize(compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "bag-links")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """doc, comp (the least doc of its component) of all ends of the edges (a, b)."""
+    """tid, comp (the least tid of its component) of all ends of the edges (a, b)."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u != v").distinct(), "bag-edges")
-    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).withColumnRenamed("u", "doc"), "bag-labels")
+    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).withColumnRenamed("u", "tid"), "bag-labels")
     while True:
-        near = both.join(labels.select(F.col("doc").alias("v"), F.col("comp").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        step = labels.join(near, labels.doc == near.u).select("doc", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
+        near = both.join(labels.select(F.col("tid").alias("v"), F.col("comp").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
+        step = labels.join(near, labels.tid == near.u).select("tid", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
         step = materialize(step, "bag-step")
-        jumped = step.join(step.select(F.col("doc").alias("to"), F.col("to").alias("further")), "to").select("doc", "was", F.least("to", "further").alias("comp"))
+        jumped = step.join(step.select(F.col("tid").alias("to"), F.col("to").alias("further")), "to").select("tid", "was", F.least("to", "further").alias("comp"))
         jumped = materialize(jumped, "bag-labels")
         if jumped.filter("comp != was").isEmpty():
-            return jumped.select("doc", "comp")
-        labels = jumped.select("doc", "comp")
+            return jumped.select("tid", "comp")
+        labels = jumped.select("tid", "comp")
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -258,31 +262,38 @@ def _may_match(a: str, b: str) -> Column:
     return sizes & (F.bit_count(c(a, "s0").bitwiseXOR(c(b, "s0"))) + F.bit_count(c(a, "s1").bitwiseXOR(c(b, "s1"))) <= SKETCH_MOST)
 
 
+def _digest(text: Column) -> Column:
+    return F.unhex(F.substring(F.sha2(text, 256), 1, 32))
+
+
 def _shared_rows(texts: DataFrame) -> DataFrame:
-    """doc, weight, s0, s1, band, key of the texts in buckets of at least two."""
-    rows = texts.filter("weight > 0").select("doc", F.posexplode("bands").alias("band", "key"))
+    """tid, weight, s0, s1, band, key of the texts in buckets of at least two."""
+    rows = texts.filter("weight > 0").select("tid", F.posexplode("bands").alias("band", "key"))
     keys = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "bag-keys")
     shared = materialize(rows.join(keys, "key"), "bag-shared")
-    return materialize(shared.join(texts.select("doc", "weight", "s0", "s1"), "doc"), "bag-rows")
+    return materialize(shared.join(texts.select("tid", "weight", "s0", "s1"), "tid"), "bag-rows")
 
 
 def _asked(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of base with these ids. Those whose hash none of the ids has go before the shuffle: at most
-    2 ** ASKED_BITS hash values are broadcast, whatever the number of ids."""
-    ids = materialize(ids.distinct(), "bag-ids")
-    at = lambda: F.pmod(F.xxhash64("doc"), F.lit(1 << ASKED_BITS)).cast("int")
+    """tid, bytes of the texts of ids (tid, doc, digest), from the rows of base that have their doc and digest. Rows whose
+    hash none of the ids has go before the shuffle: at most 2 ** ASKED_BITS hash values are broadcast, whatever the
+    number of ids."""
+    at = lambda: F.pmod(F.xxhash64("doc", "digest"), F.lit(1 << ASKED_BITS)).cast("int")
     seen = materialize(ids.select(at().alias("_at")).distinct(), "bag-hashes")
     near = base.withColumn("_at", at()).join(F.broadcast(seen), "_at", "left_semi").drop("_at")
-    return materialize(near.join(ids, "doc", "left_semi").dropDuplicates(["doc"]), "bag-asked")
+    wanted = ids.select("tid", F.col("doc").alias("_doc"), F.col("digest").alias("_digest"))
+    met = near.join(wanted, near["doc"].eqNullSafe(wanted["_doc"]) & (near["digest"] == wanted["_digest"])).select("tid", "bytes").dropDuplicates(["tid"])
+    # Python looks at these texts, so they are dealt out by number, not by bytes.
+    return materialize(met.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid"), "bag-asked")
 
 
 def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
     """key, n, h_n, h_comp and h_ columns of the buckets with several components: the size of the bucket and of its
     largest component there, and one member of that."""
-    one = F.min(F.struct(F.xxhash64("doc", "key", F.lit(turn)).alias("o"), "doc", "weight", "s0", "s1"))
+    one = F.min(F.struct(F.xxhash64("tid", "key", F.lit(turn)).alias("o"), "tid", "weight", "s0", "s1"))
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), one.alias("_one"))
     out = per.groupBy("key").agg(F.sum("_c").alias("n"), F.max(F.struct("_c", "comp", "_one")).alias("h"), F.count("*").alias("_comps")).filter("_comps > 1")
-    return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1")]), "bag-open")
+    return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("tid", "weight", "s0", "s1")]), "bag-open")
 
 
 def _star_pairs(rows: DataFrame, buckets: DataFrame, turn: int) -> DataFrame:
@@ -292,37 +303,42 @@ def _star_pairs(rows: DataFrame, buckets: DataFrame, turn: int) -> DataFrame:
         heads = buckets.drop("n", "h_n")
     else:
         step = F.greatest(F.expr(f"h_n div {4 ** (turn - 1)}"), F.lit(1))
-        met = rows.join(buckets.select(F.col("key").alias("h_key"), "h_n", "h_comp"), (F.col("key") == F.col("h_key")) & (F.col("comp") == F.col("h_comp")) & (F.pmod(F.xxhash64("doc", "key", F.lit(turn)), step) == 0))
-        heads = materialize(met.select("key", "h_comp", *[F.col(c).alias(f"h_{c}") for c in ("doc", "weight", "s0", "s1")]), "bag-heads")
+        met = rows.join(buckets.select(F.col("key").alias("h_key"), "h_n", "h_comp"), (F.col("key") == F.col("h_key")) & (F.col("comp") == F.col("h_comp")) & (F.pmod(F.xxhash64("tid", "key", F.lit(turn)), step) == 0))
+        heads = materialize(met.select("key", "h_comp", *[F.col(c).alias(f"h_{c}") for c in ("tid", "weight", "s0", "s1")]), "bag-heads")
     met = rows.join(heads.withColumnRenamed("key", "h_key"), (F.col("key") == F.col("h_key")) & (F.col("comp") != F.col("h_comp")) & _may_match("", "h_"))
-    return met.select(F.least("h_doc", "doc").alias("a"), F.greatest("h_doc", "doc").alias("b")).distinct()
+    return met.select(F.least("h_tid", "tid").alias("a"), F.greatest("h_tid", "tid").alias("b")).distinct()
 
 
 def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame, texts: DataFrame) -> DataFrame:
     """Candidate pairs between texts outside their bucket's largest component and those of other components."""
     at = buckets.select(F.col("key").alias("x_key"), "h_comp")
     held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key")
-    fine = asked.select("doc", "bytes").mapInArrow(_fine_rows, "doc bigint, fine array<bigint>")
-    held = materialize(held.join(fine, "doc").join(texts.select("doc", "bands"), "doc"), "bag-held")
-    out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("doc", "weight", "s0", "s1", "comp", "fine", "bands")]), "bag-outside")
-    asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("doc") < F.col("x_doc"))) & _may_match("", "x_")
+    fine = asked.select("tid", "bytes").mapInArrow(_fine_rows, "tid bigint, fine array<bigint>")
+    held = materialize(held.join(fine, "tid").join(texts.select("tid", "bands"), "tid"), "bag-held")
+    out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("tid", "weight", "s0", "s1", "comp", "fine", "bands")]), "bag-outside")
+    asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("tid") < F.col("x_tid"))) & _may_match("", "x_")
     differ = F.expr(" + ".join(f"bit_count(fine[{i}] ^ x_fine[{i}])" for i in range(FINE // 64)))
     # Of all buckets that two texts of different components share, and in each of which one of them asks, the first counts.
     earlier = F.expr(" + ".join(f"if(band > {i} and bands[{i}] = x_bands[{i}], 1, 0)" for i in range(BANDS)))
-    return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST) & (earlier == 0)).select(F.least("doc", "x_doc").alias("a"), F.greatest("doc", "x_doc").alias("b")).distinct()
+    return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST) & (earlier == 0)).select(F.least("tid", "x_tid").alias("a"), F.greatest("tid", "x_tid").alias("b")).distinct()
 
 
-def near_duplicate_classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and text_id (least doc_id of its exact copies)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """doc, digest, text_doc (the least of the text's docs), class_doc and class_digest (of its class's first text) of
+    every row of docs."""
     ship(docs.sparkSession)
-    base = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("doc"), text_or_empty().cast("binary").alias("bytes"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_or_empty().cast("binary").alias("bytes")).select("doc", _digest(F.col("bytes")).alias("digest"), "bytes")
     signed = materialize(base.mapInArrow(_signed_rows, "doc bigint, digest binary, weight bigint, bands array<bigint>, s0 bigint, s1 bigint"), "bag-signed")
-    texts = materialize(signed.groupBy("digest").agg(F.min("doc").alias("doc"), F.min_by(F.struct("weight", "bands", "s0", "s1"), "doc").alias("v")).select("digest", "doc", "v.*"), "bag-texts")
+    least = F.min(F.struct(F.col("doc").isNotNull().alias("known"), "doc")).alias("who")
+    texts = signed.groupBy("digest").agg(least, F.first(F.struct("weight", "bands", "s0", "s1")).alias("v"))
+    numbered = texts.repartitionByRange(n, "who", "digest").sortWithinPartitions("who", "digest").withColumn("tid", F.monotonically_increasing_id())
+    texts = materialize(numbered.select("tid", F.col("who.doc").alias("doc"), "digest", "v.*"), "bag-texts")
     rows = _shared_rows(texts)
-    asked = _asked(base, rows.select("doc"))
-    size, links, comps, turn = rows.count(), None, rows.select("doc").distinct().withColumn("comp", F.col("doc")), 0
+    asked = _asked(base, texts.select("tid", "doc", "digest").join(rows.select("tid").distinct(), "tid", "left_semi"))
+    size, links, comps, turn = rows.count(), None, rows.select("tid").distinct().withColumn("comp", F.col("tid")), 0
     while size:
-        placed = rows.join(comps, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if turn else rows.withColumn("comp", F.col("doc"))
+        placed = rows.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid")) if turn else rows.withColumn("comp", F.col("tid"))
         buckets = _open_buckets(placed.filter(F.col("band") < FIRST_BANDS) if turn == 0 else placed, turn)
         left = buckets.agg(F.sum((F.col("n") - F.col("h_n")) * F.col("n"))).first()[0] or 0
         if not left and turn:
@@ -335,13 +351,28 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
         if last:
             break
         turn += 1
-    known = texts.select("digest", F.col("doc").alias("text_id")).join(comps.withColumnRenamed("doc", "text_id"), "text_id", "left")
-    known = materialize(known.select("digest", "text_id", F.coalesce("comp", "text_id").alias("class_id")), "bag-classes")
-    named = lambda c: F.when(F.col(c) != _NO_ID, F.col(c)).alias("doc_id" if c == "doc" else c)
-    return signed.select("doc", "digest").join(known, "digest").select(named("doc"), named("class_id"), named("text_id"))
+    heads = comps.filter("comp != tid").join(texts.select(F.col("tid").alias("comp"), F.struct("doc", "digest").alias("head")), "comp").select("tid", "head")
+    known = texts.select("tid", "digest", "doc").join(heads, "tid", "left").withColumn("head", F.coalesce("head", F.struct("doc", "digest")))
+    known = materialize(known.select("digest", F.col("doc").alias("text_doc"), F.col("head.doc").alias("class_doc"), F.col("head.digest").alias("class_digest")), "bag-classes")
+    return signed.select("doc", "digest").join(known, "digest").select("doc", "digest", "text_doc", "class_doc", "class_digest")
+
+
+def near_duplicate_classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id, text_id (least doc_id of its exact copies) and class_text (digest of the class's first text)."""
+    return _classes(docs).select(F.col("doc").alias("doc_id"), F.col("class_doc").alias("class_id"), F.col("text_doc").alias("text_id"), F.lower(F.hex("class_digest")).alias("class_text"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without those that aren't the least of their class, with the columns they had."""
-    gone = materialize(near_duplicate_classes(docs).filter(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "bag-gone")
-    return docs.join(gone, docs["doc_id"].cast("bigint") == gone["_gone"], "left_anti")
+    """The first text of each class, once, with the columns of docs. Of rows that repeat its doc_id and text the one of
+    least hash stays."""
+    first = F.col("doc").eqNullSafe(F.col("class_doc")) & (F.col("digest") == F.col("class_digest"))
+    marks = _classes(docs).groupBy("doc", "digest").agg(F.bool_and(first).alias("first"), F.count("*").alias("n")).filter("not first or n > 1")
+    marks = materialize(marks.select(F.col("doc").alias("_m_doc"), F.col("digest").alias("_m_digest"), F.col("first").alias("_m_first")), "bag-marks")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"), _digest(text_or_empty().cast("binary")).alias("_digest"))
+    on = F.col("_doc").eqNullSafe(F.col("_m_doc")) & (F.col("_digest") == F.col("_m_digest"))
+    kept = rows.join(marks, on, "left_anti").select("_row")
+    again = marks.filter("_m_first")
+    if not again.isEmpty():
+        one = rows.join(again, on).groupBy("_doc", "_digest").agg(F.min_by("_row", F.xxhash64(F.to_json("_row"))).alias("_row"))
+        kept = kept.unionByName(one.select("_row"))
+    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

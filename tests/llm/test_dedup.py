@@ -93,6 +93,34 @@ def test_near_duplicates_nulls_and_repeats(spark, rows):
         assert {(r.doc_id, r.class_id) for r in got} == {(None, None), (3, None), (5, 5)}
 
 
+def test_near_duplicates_of_shared_doc_ids(spark):
+    a, b, c = ("".join(f"{x}{i} " for i in range(40)) for x in "abc")
+    near_b = b + "more"
+    rows = [(1, a, 0), (5, a, 1), (5, b, 2), (6, near_b, 3), (7, c, 4), (7, c, 5), (None, "p q r s t u", 6), (None, "other words are here now", 7), (-(1 << 63), near_b + " yet", 8)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, k int")
+    got = bag.near_duplicate_classes(df).collect()
+    groups = collections.Counter((r.class_id, r.class_text) for r in got)
+    assert len(got) == len(rows) and sorted(groups.values()) == [1, 1, 2, 2, 3]
+    kept = [(r.doc_id, r.text) for r in bag.drop_near_duplicates(df).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (-(1 << 63), near_b + " yet"), (7, c), (None, "p q r s t u"), (None, "other words are here now")]))
+    again = [r.k for r in bag.drop_near_duplicates(df.repartition(3)).collect()]
+    assert sorted(again) == sorted(r.k for r in bag.drop_near_duplicates(df).collect())
+
+
+def test_counts_beyond_a_float(spark):
+    """Signatures of huge counts: the share of agreeing registers follows the weights, not their low bits."""
+    doc, h = np.array([0, 0, 1, 1]), np.array([5, 9, 5, 9], np.uint64)
+    s = bag.signatures(doc, h, np.array([1 << 40, 1 << 39, 1 << 39, 1 << 39]), 2, 512)
+    assert abs((s[0] == s[1]).mean() - 2 / 3) < 0.09
+
+
+def test_near_duplicate_recall(spark, sf):
+    """Every text of sf0.001 against all others, brute force."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r.class_id for r in bag.near_duplicate_classes(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert got == classes(rows)
+
+
 def test_suffix_ranks():
     r = random.Random(3)
     for _ in range(300):
