@@ -1,23 +1,25 @@
-"""Line dedup by content-defined chunks of lines.
-
-Each line has a hash; a rolling hash over the last two lines' hashes ends a chunk where it is 0 modulo MODULUS,
-so chunks inside a repeated passage have the same borders wherever the passage starts. A chunk of at least
-two lines with words that occurs again is removed everywhere but at its first place (least doc_id, then least
-chunk number). Chunks meet by md5; the bytes are compared as well: of all texts that share a digest the least
-and the greatest must be the same, otherwise none of them is removed. All of this is aggregated before and
-after the exchange, so a passage of a third of all documents is no more than one row of each task.
-
-Borders that two lines decide leave most passages of 2 to 10 lines where they are. That is the rule of op5's SQL;
-the pipeline uses dedup_passages, which compares all pairs of adjacent lines and has no borders.
+"""Line dedup by content-defined chunks of lines, at two scales.
+
+Each line has a hash. Coarse chunks: a rolling hash over the last two lines' hashes ends a chunk where it is 0 modulo
+MODULUS, so chunks inside a repeated passage have the same borders wherever the passage starts. Fine chunks: any
+line with words up to the next one with words; they overlap, need no border, and cover passages too short to hold two
+borders. A chunk has at least two lines with words. The lines of a chunk that occurs at an earlier place go (least
+doc_id, then least text digest, then first line), except where it overlaps its first place in the same document; so
+the first place of each line stays. Chunks meet by md5; the bytes are compared as well: of all texts that share a
+digest the least and the greatest must be the same, otherwise none of them is removed. Before the exchange each task
+has one row for each different chunk, so a passage of a third of all documents is one row of each task; the places to
+be removed are joined to the repeated chunks and aggregated by document, which adaptive execution splits where a chunk
+is hot.
 
 Defined cases: null texts stay null and have no lines; an empty text is one line; rows with equal doc_id and
-text count as one document and are treated alike; rows with a null doc_id are compared like the others, null
-first; an empty table gives no rows; other columns pass through. Native: DataFrame and SQL functions only.
+text count as one document and are treated alike; a doc_id may come with several texts; rows with a null doc_id are
+compared like the others, null first; an empty table gives no rows; other columns pass through. Native: DataFrame and
+SQL functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACE_CHARS, materialize
@@ -25,81 +27,66 @@ from ._common import SPACE_CHARS, materialize
 MODULUS, LEAST_LINES = 3, 2
 
 
-def _chunked(docs: DataFrame, modulus: int) -> DataFrame:
-    """docs with _doc, _lines, _ends (the last line of each chunk, from 0)."""
-    out = docs.withColumn("_doc", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("_lines", F.split("text", "\n"))
-    out = out.withColumn("_h", F.expr("transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
-    return out.withColumn("_ends", F.expr(f"filter(sequence(0, size(_lines) - 1), i -> i = size(_lines) - 1 or (_h[i] * 31 + if(i > 0, _h[i - 1], 0L)) % {modulus} = 0)")).drop("_h")
+def _worded(line: Column) -> Column:
+    return F.btrim(line, F.lit(SPACE_CHARS)) != ""
 
 
-_START = "if(k > 0, _ends[k - 1] + 1, 0)"
+def _text_id() -> Column:
+    """Tells texts of one doc_id apart; a whole digest where there is no doc_id."""
+    return F.when(F.col("doc_id").isNull(), F.md5(F.col("text").cast("binary"))).otherwise(F.hex(F.xxhash64("text")))
 
 
-def _chunk_rows(chunked: DataFrame, least: int) -> DataFrame:
-    """doc_id, _doc, _k, _chunk (its text) of every chunk of at least `least` lines with words."""
-    rows = chunked.filter("text is not null").selectExpr("doc_id", "_doc", f"posexplode(transform(_ends, (e, k) -> slice(_lines, {_START} + 1, e - ({_START}) + 1))) as (_k, _part)")
-    worded = F.size(F.filter("_part", lambda x: F.btrim(x, F.lit(SPACE_CHARS)) != ""))
-    return rows.filter(worded >= least).select("doc_id", "_doc", "_k", F.array_join("_part", "\n").alias("_chunk"))
+def _chunk_rows(docs: DataFrame, modulus: int) -> DataFrame:
+    """doc_id, _doc, _from, _to (lines from 0), _chunk (its text) of every chunk of both scales."""
+    lines = docs.filter("text is not null").select("doc_id", _text_id().alias("_doc"), F.split("text", "\n").alias("_lines"))
+    lines = lines.withColumn("_at", F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: _worded(F.col("_lines")[i]))).filter(F.size("_at") >= LEAST_LINES)
+    lines = lines.withColumn("_h", F.expr("transform(_lines, x -> cast(conv(substring(md5(cast(x as binary)), 1, 7), 16, 10) as bigint))"))
+    lines = lines.withColumn("_ends", F.expr(f"filter(sequence(0, size(_lines) - 1), i -> i = size(_lines) - 1 or (_h[i] * 31 + if(i > 0, _h[i - 1], 0L)) % {modulus} = 0)"))
+    # First and last line of a chunk in one long.
+    coarse = F.expr("transform(_ends, (e, k) -> shiftleft(cast(if(k > 0, _ends[k - 1] + 1, 0) as bigint), 32) | e)")
+    part = lambda c: F.slice("_lines", F.shiftright(c, 32).cast("int") + 1, (c.bitwiseAND(F.lit(0xFFFFFFFF)) - F.shiftright(c, 32)).cast("int") + 1)
+    coarse = F.filter(coarse, lambda c: F.size(F.filter(part(c), _worded)) >= LEAST_LINES)
+    fine = F.expr("transform(sequence(0, size(_at) - 2), k -> shiftleft(cast(_at[k] as bigint), 32) | _at[k + 1])")
+    rows = lines.select("doc_id", "_doc", "_lines", F.explode(F.array_distinct(F.concat(coarse, fine))).alias("_c"))
+    rows = rows.select("doc_id", "_doc", "_lines", F.shiftright("_c", 32).cast("int").alias("_from"), F.col("_c").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("_to"))
+    return rows.select("doc_id", "_doc", "_from", "_to", F.array_join(F.slice("_lines", F.col("_from") + 1, F.col("_to") - F.col("_from") + 1), "\n").alias("_chunk"))
 
 
-def _removals(docs: DataFrame, modulus: int, least: int) -> DataFrame:
-    """_doc, _gone: the numbers of a document's chunks that go."""
-    rows = _chunk_rows(_chunked(docs, modulus), least).withColumn("_digest", F.md5(F.col("_chunk").cast("binary")))
-    met = rows.groupBy("_digest").agg(F.min(F.struct("doc_id", "_doc", "_k")).alias("_first"), F.max(F.struct("doc_id", "_doc", "_k")).alias("_last"), F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most"))
+def _removals(docs: DataFrame, modulus: int) -> DataFrame:
+    """_id, _doc, _gone: the numbers of a document's lines that go."""
+    place = F.struct(F.col("doc_id").alias("doc_id"), "_doc", "_from", "_to")
+    rows = _chunk_rows(docs, modulus).withColumn("_digest", F.unhex(F.md5(F.col("_chunk").cast("binary"))))
+    met = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most"))
     repeated = materialize(met.filter("_first != _last and _least = _most").select("_digest", "_first"), "line-repeats")
-    return rows.select("_digest", "doc_id", "_doc", "_k").join(repeated, "_digest").filter(~F.struct("doc_id", "_doc", "_k").eqNullSafe(F.col("_first"))).groupBy("_doc").agg(F.collect_set("_k").alias("_gone"))
-
-
-def dedup_lines(docs: DataFrame, modulus: int = MODULUS, least: int = LEAST_LINES, report: bool = False) -> DataFrame:
-    """docs with the repeated chunks taken out of `text`. With report also n_lines, n_chunks, n_removed_chunks and
-    n_removed_lines, which replace columns of these names."""
-    columns = docs.columns
-    gone = materialize(_removals(docs.select("doc_id", "text"), modulus, least), "line-removals")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), "doc_id", "text")
-    out = _chunked(own, modulus).join(gone, "_doc", "left").withColumn("_left", F.expr("array_except(sequence(0, size(_ends) - 1), coalesce(_gone, cast(array() as array<int>)))"))
-    part = f"array_join(slice(_lines, {_START} + 1, _ends[k] - ({_START}) + 1), '\\n')"
-    text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(F.expr(f"array_join(transform(_left, k -> {part}), '\\n')"))
-    size = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(c)).cast("bigint")
+    later = rows.drop("_chunk").join(repeated, "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
+    return later.groupBy(F.col("doc_id").alias("_id"), "_doc").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(_from, _to)")))).alias("_gone"))
+
+
+def dedup_lines(docs: DataFrame, modulus: int = MODULUS, report: bool = False) -> DataFrame:
+    """docs with the lines of repeated chunks taken out of `text`. With report also n_lines, n_removed_lines and n_spans
+    (runs of removed lines), which replace columns of these names."""
+    gone = materialize(_removals(docs.select("doc_id", "text"), modulus), "line-removals")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own_id"), _text_id().alias("_own"), F.col("text").alias("_text"))
+    out = own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_doc")), "left").withColumn("_lines", F.split("_text", "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
+    text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(kept)
+    sorted_gone = F.array_sort(F.coalesce("_gone", F.array().cast("array<int>")))
     counts = {
-        "n_lines": size("_lines"),
-        "n_chunks": F.when(F.col("text").isNull(), 0).otherwise(size("_ends")).cast("bigint"),
-        "n_removed_chunks": size("_gone"),
-        "n_removed_lines": F.expr(f"aggregate(coalesce(_gone, cast(array() as array<int>)), 0L, (a, k) -> a + _ends[k] - ({_START}) + 1)"),
+        "n_lines": F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint"),
+        "n_removed_lines": F.size(F.coalesce("_gone", F.array().cast("array<int>"))).cast("bigint"),
+        "n_spans": F.expr("size(filter(_sorted, (x, i) -> i = 0 or _sorted[i - 1] < x - 1))").cast("bigint"),
     }
-    kept = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in columns if not report or c.lower() not in counts]
-    return out.select(*kept, *[v.alias(k) for k, v in counts.items()]) if report else out.select(*kept)
-
-
-def _pair_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, _doc, _from, _to, _pair (the text) of each worded line with the next worded one and what is between."""
-    lines = docs.filter("text is not null").withColumn("_doc", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("_lines", F.split("text", "\n"))
-    worded = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.btrim(F.col("_lines")[i], F.lit(SPACE_CHARS)) != "")
-    lines = lines.withColumn("_at", worded).filter(F.size("_at") > 1)
-    pairs = lines.selectExpr("doc_id", "_doc", "_lines", "explode(transform(sequence(0, size(_at) - 2), k -> named_struct('_from', _at[k], '_to', _at[k + 1]))) as _p")
-    return pairs.selectExpr("doc_id", "_doc", "_p._from", "_p._to", "array_join(slice(_lines, _p._from + 1, _p._to - _p._from + 1), '\n') as _pair")
-
-
-def dedup_passages(docs: DataFrame) -> DataFrame:
-    """docs without the lines of any passage of two or more lines with words that occurs earlier, wherever it starts.
-
-    A passage is covered by its overlapping pairs of lines. Pairs meet and are compared as chunks are; the lines of
-    a pair go at all places but the first, and but places in the first's own document that overlap it. So the first
-    place of each line stays."""
-    place = F.struct("doc_id", "_doc", "_from", "_to")
-    rows = _pair_rows(docs.select("doc_id", "text")).withColumn("_digest", F.md5(F.col("_pair").cast("binary")))
-    met = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_pair").alias("_least"), F.max("_pair").alias("_most"))
-    repeated = materialize(met.filter("_first != _last and _least = _most").select("_digest", "_first"), "passage-repeats")
-    later = rows.drop("_pair").join(repeated, "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
-    gone = materialize(later.groupBy("_doc").agg(F.array_distinct(F.flatten(F.collect_list(F.expr("sequence(_from, _to)")))).alias("_gone")), "passage-removals")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.xxhash64(F.col("doc_id"), F.col("text")).alias("_doc"), F.col("text").alias("_text"))
-    lines = F.split("_text", "\n")
-    left = F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_gone")), lambda i: F.get(F.col("_lines"), i)), "\n")
-    out = own.join(gone, "_doc", "left").withColumn("_lines", lines)
-    text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(left)
-    return out.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    if report:
+        out = out.withColumn("_sorted", sorted_gone)
+    columns = [text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if not report or c.lower() not in counts]
+    return out.select(*columns, *[v.alias(k) for k, v in counts.items()]) if report else out.select(*columns)
+
+
+dedup_passages = dedup_lines
 
 
 def report_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_lines, n_chunks, n_removed_chunks, n_removed_lines, kept_sha256 of every document."""
+    """doc_id, n_lines, n_removed_lines, n_spans, kept_sha256 of every document."""
     out = dedup_lines(docs.select("doc_id", "text"), report=True)
-    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    return out.select(F.col("doc_id").cast("bigint").alias("doc_id"), "n_lines", "n_removed_lines", "n_spans", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256).alias("kept_sha256"))

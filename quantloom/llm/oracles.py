@@ -10,31 +10,34 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 OP5 = rf"""
-with lines as (
-  select doc_id, text, i - 1 as i, list_extract(parts, i) as line
-  from (select doc_id, text, parts, unnest(range(1, len(parts) + 1)) as i
-        from (select doc_id, text, string_split(text, chr(10)) as parts from documents where text is not null))),
+with texts as (select doc_id, string_split(text, chr(10)) as parts from documents where text is not null),
+lines as (
+  select doc_id, i - 1 as i, list_extract(parts, i) as line, trim(list_extract(parts, i), {_SPACES}) <> '' as worded
+  from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from texts)),
 hashed as (select *, cast('0x' || substr(md5(line), 1, 7) as bigint) as h from lines),
 ends as (
   select *, (h * 31 + coalesce(lag(h) over w, 0)) % {MODULUS} = 0 as is_end from hashed
   window w as (partition by doc_id order by i)),
 numbered as (
   select *, coalesce(sum(cast(is_end as int)) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0) as k from ends),
-chunks as (
-  select doc_id, k, string_agg(line, chr(10) order by i) as chunk, count(*) as n,
-         count(*) filter (where trim(line, {_SPACES}) <> '') as worded
-  from numbered group by doc_id, k),
+spans as (
+  select doc_id, min(i) as f, max(i) as t from numbered group by doc_id, k having count(*) filter (where worded) >= {LEAST_LINES}
+  union
+  select doc_id, i, next from (select doc_id, i, lead(i) over (partition by doc_id order by i) as next from lines where worded) where next is not null),
+chunks as (select doc_id, f, t, array_to_string(list_slice(parts, f + 1, t + 1), chr(10)) as chunk from spans join texts using (doc_id)),
 ranked as (
-  select *, case when worded >= {LEAST_LINES} then row_number() over (partition by worded >= {LEAST_LINES}, chunk order by doc_id, k) else 1 end as place from chunks),
+  select doc_id, f, t, first_value(doc_id) over w as first_doc, first_value(t) over w as first_t, row_number() over w as place
+  from chunks window w as (partition by chunk order by doc_id, f, t)),
+gone as (select distinct doc_id, unnest(range(f, t + 1)) as i from ranked where place > 1 and not (doc_id = first_doc and f <= first_t)),
 kept as (
-  select doc_id, sum(n) as n_lines, count(*) as n_chunks, count(*) filter (where place > 1) as n_removed_chunks,
-         coalesce(sum(n) filter (where place > 1), 0) as n_removed_lines,
-         coalesce(string_agg(chunk, chr(10) order by k) filter (where place = 1), '') as kept
-  from ranked group by doc_id)
-select d.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_chunks, 0) as bigint) as n_chunks,
-       cast(coalesce(n_removed_chunks, 0) as bigint) as n_removed_chunks, cast(coalesce(n_removed_lines, 0) as bigint) as n_removed_lines,
-       sha256(coalesce(kept, '')) as kept_sha256
-from documents d left join kept using (doc_id)
+  select l.doc_id, count(*) as n_lines, count(g.i) as n_removed_lines, coalesce(string_agg(line, chr(10) order by l.i) filter (where g.i is null), '') as kept
+  from lines l left join gone g on l.doc_id = g.doc_id and l.i = g.i group by l.doc_id),
+runs as (
+  select doc_id, count(*) as n_spans from (select doc_id, i, lag(i) over (partition by doc_id order by i) as before from gone)
+  where before is null or before < i - 1 group by doc_id)
+select d.doc_id, cast(coalesce(n_lines, 0) as bigint) as n_lines, cast(coalesce(n_removed_lines, 0) as bigint) as n_removed_lines,
+       cast(coalesce(n_spans, 0) as bigint) as n_spans, sha256(coalesce(kept, '')) as kept_sha256
+from documents d left join kept using (doc_id) left join runs using (doc_id)
 """
 
 _OVER = ", ".join(f"('{s}', {c!r})" for s in quality.SCORES for c in quality.GRID)

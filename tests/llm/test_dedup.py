@@ -207,28 +207,44 @@ def line_chunks(text):
     return out
 
 
+def without_passages(rows):
+    """Plain version of dedup_lines over (doc_id, text), and how many lines go."""
+    first, places, out, total = {}, [], {}, 0
+    rows = sorted(rows, key=lambda x: -1 if x[0] is None else x[0])
+    for i, t in rows:
+        if t is None:
+            continue
+        lines = t.split("\n")
+        at = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")]
+        spans, k = set(zip(at, at[1:], strict=False)), 0
+        for c in line_chunks(t):
+            if sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in c) >= 2:
+                spans.add((k, k + len(c) - 1))
+            k += len(c)
+        for a, b in sorted(spans):
+            first.setdefault("\n".join(lines[a : b + 1]), (i, b))
+            places.append((i, a, b, "\n".join(lines[a : b + 1])))
+    gone = collections.defaultdict(set)
+    for i, a, b, chunk in places:
+        doc, end = first[chunk]
+        if doc != i or a > end:
+            gone[i] |= set(range(a, b + 1))
+    for i, t in rows:
+        out[i] = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[i])
+        total += len(gone[i])
+    return out, total
+
+
 def test_line_chunks(spark):
     r = random.Random(5)
     pool = [f"line {k} of the pool" for k in range(60)]
     rows = [(i, "\n".join(pool[(a := r.randrange(50)) : a + r.randrange(12)] + [f"own {r.random()}" for _ in range(r.randrange(3))] + pool[:7] * r.randrange(2))) for i in range(40)]
-    rows += [(50, ""), (51, None), (52, "\n\n\n"), (53, "same\n" * 40), (54, "same\n" * 40), (None, "\n".join(pool))]
+    rows += [(50, ""), (51, None), (52, "\n\n\n"), (53, "same\n" * 40), (54, "same\n" * 40), (None, "\n".join(pool)), (55, "x " * 50_000 + "\n" + "y\n" * 3000)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'keep' as _lines", "7 as other", "'x' as n_lines", "1 as _gone").repartition(5)
     got = {x.doc_id: x for x in linededup.dedup_lines(df, report=True).collect()}
-    seen, want = set(), {}
-    for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
-        if t is None:
-            want[i] = None
-            continue
-        left = []
-        for c in line_chunks(t):
-            key = "\n".join(c)
-            if sum(bool(x.strip(" \t\n\x0b\x0c\r")) for x in c) >= 2 and key in seen:
-                continue
-            seen.add(key)
-            left.append(key)
-        want[i] = "\n".join(left)
+    want, gone = without_passages(rows)
     assert {i: x.text for i, x in got.items()} == want
-    assert sum(x.n_removed_lines for x in got.values()) > 20 and got[51].n_lines == 0
+    assert sum(x.n_removed_lines for x in got.values()) == gone > 20 and got[51].n_lines == 0
     assert linededup.dedup_lines(df.limit(0)).count() == 0
     twice = spark.createDataFrame([(1, "a\nb\nc\nd\ne\nf\ng")] * 2, "doc_id bigint, text string")
     assert [x.n_removed_lines for x in linededup.dedup_lines(twice, report=True).collect()] == [0, 0]
@@ -236,19 +252,10 @@ def test_line_chunks(spark):
     assert plain.columns == df.columns and plain.filter((F.col("other") == 7) & (F.col("n_lines") == "x")).count() == len(rows)
 
 
-def without_passages(rows):
-    """Plain version of dedup_passages over (doc_id, text), and how many lines go."""
-    first, out, total = {}, {}, 0
-    for i, t in sorted(rows, key=lambda x: -1 if x[0] is None else x[0]):
-        lines = [] if t is None else t.split("\n")
-        at, gone = [k for k, x in enumerate(lines) if x.strip(" \t\n\x0b\x0c\r")], set()
-        for a, b in zip(at, at[1:], strict=False):
-            doc, _, end = first.setdefault("\n".join(lines[a : b + 1]), (i, a, b))
-            if doc != i or a > end:
-                gone |= set(range(a, b + 1))
-        out[i] = None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
-        total += len(gone)
-    return out, total
+def test_line_chunks_of_shared_doc_ids(spark):
+    rows = [(2, "a\nb\nown"), (2, "c\nd"), (1, "a\nb"), (None, "c\nd\ne"), (None, "f\ng")]
+    got = {(x.doc_id, x.text) for x in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {(2, "own"), (2, ""), (1, "a\nb"), (None, "c\nd\ne"), (None, "f\ng")}
 
 
 def passage_rows():
@@ -270,4 +277,4 @@ def test_passages_in_other_text(spark):
     assert gone > 200 and not any(x.n_chars != len(x.text or "") for x in got.collect() if x.text)
     assert cp.dedup_lines(spark, df.limit(0), "").count() == 0
     twice = spark.createDataFrame([(1, "a\nb\nc")] * 2, "doc_id bigint, text string")
-    assert [x.text for x in linededup.dedup_passages(twice).collect()] == ["a\nb\nc"] * 2
+    assert [x.text for x in linededup.dedup_lines(twice).collect()] == ["a\nb\nc"] * 2
