@@ -25,12 +25,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages of two or more lines go from the texts; every document stays."""
-    return _sized(linededup.dedup_passages(docs), docs.columns)
+    """Lines of repeated chunks go from the texts, so of any repeated passage of two or more lines; every document stays."""
+    return _sized(linededup.dedup_lines(docs), docs.columns)
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, the one with the least doc_id."""
+    """One document of each group of near duplicates stays, the one with the least doc_id (null first)."""
     return bagminhash.drop_near_duplicates(docs)
 
 
