@@ -160,6 +160,49 @@ def test_repeated_strings(spark):
     assert [r.n_removed for r in suffix.report_documents(twice).collect()] == [0, 0]  # one document, stored twice
 
 
+def test_repeated_strings_of_shared_doc_ids(spark):
+    r = random.Random(21)
+    a, b, c = ("".join(r.choices("abcdefgh ", k=359)) for _ in range(3))
+    df = spark.createDataFrame([(2, a), (2, b), (1, a), (None, c), (None, b + "x"), (None, c), (-(1 << 63), c)], "doc_id bigint, text string")
+    got = sorted((str(x.doc_id), x.n_bytes, x.n_removed) for x in suffix.report_documents(df).collect())
+    assert got == sorted([("2", 359, 359), ("2", 359, 359), ("1", 359, 0), ("None", 359, 0), ("None", 359, 0), ("None", 360, 0), (str(-(1 << 63)), 359, 359)])
+
+
+def test_seeds_do_not_depend_on_batches():
+    r = random.Random(22)
+    texts = ["".join(r.choices("ab ", k=r.choice([100, 3000, 70_000]))).encode() for _ in range(12)] + [b"ab" * 40_000]
+    for bits in (64, 9):
+        owner, place, h, c = suffix.seeds(texts, 3, bits)
+        for k, t in enumerate(texts):
+            alone = suffix.seeds([t], 3, bits)
+            assert all((x[owner == k] == y).all() for x, y in zip((place, h, c), alone[1:], strict=True))
+
+
+def test_repeated_strings_with_colliding_hashes(spark):
+    """Hashes of 10 bits link places of other bytes; these are found by comparing, and another attempt is made."""
+    rows = [x for x in repeat_rows() if x[0] is not None][::4]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    first = suffix._attempt(df, 0, 10, suffix.BLOCK).collect()
+    assert sum(x.failed for x in first) > 0
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in suffix.remove_repeats(df, bits=(10, 64)).collect()}
+    assert got == removed(rows)
+
+
+def test_repeated_strings_of_hot_seeds(spark, monkeypatch):
+    """A passage under LENGTH bytes in all documents, and a long text: seeds are dealt out by context, results are the same."""
+    r = random.Random(23)
+    passage = "".join(r.choices("abcdefgh ", k=90))
+    own = lambda k: "".join(r.choices("ijklmnopqrstuvwxyz ", k=k))
+    rows = [(i, own(80) + passage + own(80)) for i in range(1500)] + [(9000, own(70_000) + passage + own(40)), (9001, passage * 3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    monkeypatch.setattr(suffix, "LOOK", 8)
+    base = df.selectExpr("doc_id as doc", "0L as tie", "cast(text as binary) as bytes")
+    suffix.ship(spark)
+    assert len(suffix.hot_seeds(base, 0, 64, 8, suffix.HOT, 10)) > 0
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffix.report_documents(df).collect()}
+    assert got == removed(rows)
+
+
 def test_repeated_strings_in_small_blocks(spark, monkeypatch):
     import quantloom.llm.suffix as module
 
