@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextvars
+import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -29,9 +34,12 @@ def text_or_empty(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a local one only where the session names none, as in tests."""
+    """The folder all executors share, from spark.checkpoint.dir. Where the session names none, a local one, but only if
+    all executors run in this process, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "file://" + os.path.join(tempfile.gettempdir(), f"quantloom-{os.getuid()}", spark.sparkContext.applicationId)
     return named.rstrip("/")
 
@@ -41,18 +49,56 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quantloom-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_scopes = contextvars.ContextVar("scopes", default=())
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes a materialized table that is no longer needed."""
+    _delete(df.sparkSession, df._table_path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
+    return out
+
+
+def scratch(fn: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For functions that return a table just materialized, which reads nothing else: the tables that were
+    materialized on the way to it are deleted."""
+
+    @functools.wraps(fn)
+    def run(*args, **kwargs):
+        outer, paths = _scopes.get(), []
+        token = _scopes.set((*outer, paths))
+        try:
+            out = fn(*args, **kwargs)
+        finally:
+            _scopes.reset(token)
+        for path in paths:
+            if path != out._table_path:
+                _delete(out.sparkSession, path)
+        if outer:
+            outer[-1].append(out._table_path)
+        return out
+
+    return run
 
 
 def drop_materialized(spark: SparkSession) -> None:
-    """Deletes what materialize() left of this application in the shared folder. Results not yet read are lost."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes what materialize() left of this application in the shared folder: for when all results are written."""
+    _delete(spark, _own_dir(spark))
 
 
 _shipped: set[str] = set()
@@ -64,7 +110,9 @@ def ship(spark: SparkSession) -> None:
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[1]
-    path = os.path.join(tempfile.mkdtemp(), f"{top.name}.zip")
+    folder = tempfile.mkdtemp()
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{top.name}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))

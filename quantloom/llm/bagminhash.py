@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship, text_or_empty
+from ._common import materialize, scratch, ship, text_or_empty
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 30, 5
@@ -240,6 +240,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "bag-links")
 
 
+@scratch
 def components(edges: DataFrame) -> DataFrame:
     """tid, comp (the least tid of its component) of all ends of the edges (a, b)."""
     both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u != v").distinct(), "bag-edges")
@@ -251,7 +252,9 @@ def components(edges: DataFrame) -> DataFrame:
         jumped = step.join(step.select(F.col("tid").alias("to"), F.col("to").alias("further")), "to").select("tid", "was", F.least("to", "further").alias("comp"))
         jumped = materialize(jumped, "bag-labels")
         if jumped.filter("comp != was").isEmpty():
-            return jumped.select("tid", "comp")
+            out = jumped.select("tid", "comp")
+            out._table_path = jumped._table_path
+            return out
         labels = jumped.select("tid", "comp")
 
 
@@ -323,6 +326,7 @@ def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame, texts: Da
     return held.join(out, (F.col("key") == F.col("x_key")) & asks & (differ <= FINE_MOST) & (earlier == 0)).select(F.least("tid", "x_tid").alias("a"), F.greatest("tid", "x_tid").alias("b")).distinct()
 
 
+@scratch
 def _classes(docs: DataFrame) -> DataFrame:
     """doc, digest, text_doc (the least of the text's docs), class_doc and class_digest (of its class's first text) of
     every row of docs."""
@@ -354,7 +358,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     heads = comps.filter("comp != tid").join(texts.select(F.col("tid").alias("comp"), F.struct("doc", "digest").alias("head")), "comp").select("tid", "head")
     known = texts.select("tid", "digest", "doc").join(heads, "tid", "left").withColumn("head", F.coalesce("head", F.struct("doc", "digest")))
     known = materialize(known.select("digest", F.col("doc").alias("text_doc"), F.col("head.doc").alias("class_doc"), F.col("head.digest").alias("class_digest")), "bag-classes")
-    return signed.select("doc", "digest").join(known, "digest").select("doc", "digest", "text_doc", "class_doc", "class_digest")
+    return materialize(signed.select("doc", "digest").join(known, "digest").select("doc", "digest", "text_doc", "class_doc", "class_digest"), "bag-rows-classes")
 
 
 def near_duplicate_classes(docs: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CHARS, materialize
+from ._common import SPACE_CHARS, materialize, scratch
 
 MODULUS, LEAST_LINES = 3, 2
 
@@ -52,6 +52,7 @@ def _chunk_rows(docs: DataFrame, modulus: int) -> DataFrame:
     return rows.select("doc_id", "_doc", "_from", "_to", F.array_join(F.slice("_lines", F.col("_from") + 1, F.col("_to") - F.col("_from") + 1), "\n").alias("_chunk"))
 
 
+@scratch
 def _removals(docs: DataFrame, modulus: int) -> DataFrame:
     """_id, _doc, _gone: the numbers of a document's lines that go."""
     place = F.struct(F.col("doc_id").alias("doc_id"), "_doc", "_from", "_to")
@@ -59,13 +60,13 @@ def _removals(docs: DataFrame, modulus: int) -> DataFrame:
     met = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most"))
     repeated = materialize(met.filter("_first != _last and _least = _most").select("_digest", "_first"), "line-repeats")
     later = rows.drop("_chunk").join(repeated, "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
-    return later.groupBy(F.col("doc_id").alias("_id"), "_doc").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(_from, _to)")))).alias("_gone"))
+    return materialize(later.groupBy(F.col("doc_id").alias("_id"), "_doc").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(_from, _to)")))).alias("_gone")), "line-removals")
 
 
 def dedup_lines(docs: DataFrame, modulus: int = MODULUS, report: bool = False) -> DataFrame:
     """docs with the lines of repeated chunks taken out of `text`. With report also n_lines, n_removed_lines and n_spans
     (runs of removed lines), which replace columns of these names."""
-    gone = materialize(_removals(docs.select("doc_id", "text"), modulus), "line-removals")
+    gone = _removals(docs.select("doc_id", "text"), modulus)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").alias("_own_id"), _text_id().alias("_own"), F.col("text").alias("_text"))
     out = own.join(gone, F.col("_own_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_doc")), "left").withColumn("_lines", F.split("_text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
@@ -83,9 +84,6 @@ def dedup_lines(docs: DataFrame, modulus: int = MODULUS, report: bool = False) -
     return out.select(*columns, *[v.alias(k) for k, v in counts.items()]) if report else out.select(*columns)
 
 
-dedup_passages = dedup_lines
-
-
 def report_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed_lines, n_spans, kept_sha256 of every document."""
     out = dedup_lines(docs.select("doc_id", "text"), report=True)

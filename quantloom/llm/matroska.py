@@ -203,7 +203,9 @@ def _uint(buf: bytes, a: int, b: int) -> int:
 
 
 def _float(buf: bytes, a: int, b: int) -> float:
-    return struct.unpack({4: ">f", 8: ">d"}[b - a], buf[a:b])[0] if b > a else 0.0
+    if b - a not in (0, 4, 8):
+        raise Damaged(f"float of {b - a} bytes at {a}")
+    return struct.unpack(">f" if b - a == 4 else ">d", buf[a:b])[0] if b > a else 0.0
 
 
 def _frames(buf: bytes, at: int, end: int, kind: int) -> list[tuple[int, int]]:
@@ -337,11 +339,14 @@ def _block(buf: bytes, a: int, b: int, m: Media, base: int, cluster: int, block:
     for k, (at, n) in enumerate(_frames(buf, a + w + 3, b, kind)):
         if k == 0:
             ns = (base + when) * m.scale
+        if abs(ns) >= 1 << 63:
+            raise Damaged(f"time of the block at {a} is beyond 64 bits of nanoseconds")
         m.packets.append(Packet(track, cluster, block, k, ns, at, n, LACING[kind], bool(flags & 0x80) if key is None else key))
         if t and t.default_duration:
             ns += t.default_duration
         elif t and t.bit_depth >= 8 and t.rate > 0:  # frames of PCM say how long they last
-            ns += round(n * 1_000_000_000 / (t.rate * max(1, t.channels) * (t.bit_depth // 8)))
+            last = n * 1_000_000_000 / (t.rate * max(1, t.channels) * (t.bit_depth // 8))
+            ns += round(last) if last < 1 << 63 else 1 << 63
 
 
 def track_bytes(buf: bytes, m: Media, track: int = 1) -> bytes:
@@ -390,7 +395,7 @@ def packet_table(df: DataFrame, media: str = "media", key: str = "doc_id") -> Da
 
         return rows
 
-    schema = f"key {kind}, track int, codec string, cluster int, block int, frame int, timestamp_ns bigint, byte_offset bigint, byte_size bigint, lacing string, keyframe boolean, error string"
+    schema = f"key {kind}, track bigint, codec string, cluster int, block int, frame int, timestamp_ns bigint, byte_offset bigint, byte_size bigint, lacing string, keyframe boolean, error string"
     return map_rows(df.select(F.col(key).alias("key"), F.col(media).cast("binary").alias("media")), make, schema, 64).withColumnRenamed("key", key)
 
 

@@ -2,7 +2,7 @@
 
 Every document has a hash-random key. Within each source the keys are range-sorted: the key's first digits
 give a bucket, prefix sums over the buckets' word counts give each bucket's offset, and only rows of one
-bucket are sorted together, so a hot source is spread over BUCKETS tasks. A source's budget in words is
+bucket are sorted together, so a hot source is spread over as many tasks as its rows need. A source's budget in words is
 its target; whole epochs are taken first and the last one is cut at the exact word.
 
 Sources by code point, null last, weigh 1, 2, 3, repeating, and share 100 % of all words; a source's target
@@ -16,12 +16,16 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import SPACE_CLASS, WORD_PATTERN, materialize, text_or_empty
+from ._common import SPACE_CLASS, WORD_PATTERN, forget, materialize, text_or_empty
 
-MOST, BUCKET_DIGITS, SEED = 3, 2, 42
+MOST, SEED = 3, 42
+#: Least number of the key's first hexadecimal digits that make a bucket, and the rows that a bucket is for.
+BUCKET_DIGITS, BUCKET_ROWS = 2, 1_000_000
 
 
 def _key(seed: int) -> Column:
@@ -58,7 +62,8 @@ def source_targets(sized: DataFrame) -> DataFrame:
 
 def _placed(sized: DataFrame) -> DataFrame:
     """sized with source_size, target, budget and _before, the words before a row in its source's order."""
-    sized = sized.withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
+    digits = max(BUCKET_DIGITS, math.ceil(math.log(max(1, sized.count() / BUCKET_ROWS), 16)))
+    sized = sized.withColumn("_bucket", F.substring("_key", 1, digits)).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")))
     targets = source_targets(sized).withColumn("_source", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))).drop("source")
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sized.groupBy("_source", "_bucket").agg(F.sum("size").alias("_words")).select("_source", "_bucket", F.coalesce(F.sum("_words").over(earlier), F.lit(0)).alias("_offset"))
@@ -88,13 +93,17 @@ def mix_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     keeps its first words, joined by spaces. Texts aren't shuffled: each source's cut is a row of a small table.
     Rows with equal key and size at a cut share its words evenly."""
     columns = docs.columns
-    placed = _placed(materialize(_sized(docs, seed), "mix-sized"))
+    sized = materialize(_sized(docs, seed), "mix-sized")
+    placed = _placed(sized)
     at_cut = F.when((F.col("size") > 0) & (F.col("_before") + F.col("size") > _rest()), F.struct("_key", "size", F.greatest(F.lit(0), _rest() - F.col("_before")).alias("left")))
     cuts = materialize(placed.groupBy("_source").agg(F.max(_epochs()).alias("_epochs"), F.min(at_cut).alias("_cut")), "mix-cuts")
     ties = placed.join(cuts.select("_source", F.col("_cut._key").alias("_key"), F.col("_cut.size").alias("size")), ["_source", "_key", "size"], "left_semi").groupBy("_source").agg(F.count("*").alias("_ties"))
     plan = cuts.join(ties, "_source", "left").select("_source", F.col("_epochs").cast("int").alias("_epochs"), F.col("_cut._key").alias("_cut_key"), F.col("_cut.size").alias("_cut_size"), F.expr("_cut.left div coalesce(_ties, 1)").alias("_left"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row"), F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("n")).alias("_source"), F.regexp_count(text_or_empty(), F.lit(WORD_PATTERN)).cast("bigint").alias("_size"), _key(seed).alias("_key"))
-    rows = rows.filter("_size > 0").join(materialize(plan, "mix-plan"), "_source")
+    plan = materialize(plan, "mix-plan")
+    forget(sized)
+    forget(cuts)
+    rows = rows.filter("_size > 0").join(plan, "_source")
     before = F.col("_cut_key").isNull() | (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.col("_size") < F.col("_cut_size")))
     part = F.when(before, F.col("_size")).when((F.col("_key") == F.col("_cut_key")) & (F.col("_size") == F.col("_cut_size")), F.least("_left", "_size")).otherwise(F.lit(0))
     rows = rows.withColumn("_words", F.explode(F.concat(F.array_repeat("_size", F.col("_epochs")), F.array(part.cast("bigint"))))).filter("_words > 0")

@@ -6,9 +6,10 @@ column sums the shard sizes. Each block is permuted locally and dealt out by its
 exchange each shard is permuted again. Together that is a uniform random permutation cut into shards
 (Sanders 1998); equal seeds give equal results, also after lost executors, since every key is a hash.
 
-Blocks and cells (parts of a shard, by the second key) bound what one task sorts. Law: `rows`, counts at most
+Blocks and cells (parts of a shard, by the second key) bound what one task sorts; there are as many as the rows need.
+The driver gets one count for each block. Law: `rows`, counts at most
 one apart. Defined cases: a null text has size 1 and crc32 0; repeated rows are separate rows; an empty table
-gives no rows; fully equal rows can change places among themselves.
+gives no rows; fully equal rows can change places among themselves; columns named shard or slot are replaced.
 """
 
 from __future__ import annotations
@@ -19,10 +20,10 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, text_or_empty
+from ._common import forget, materialize, text_or_empty
 
-#: Blocks before the exchange, and cells of each shard after it. With shards, the bound of what is broadcast.
-BLOCKS, CELLS = 256, 64
+#: Least number of blocks before the exchange and of cells of each shard after it, and the rows that one of them is for.
+BLOCKS, CELLS, ROWS = 256, 64, 1_000_000
 _NUMPY_MOST = 1_000_000_000
 
 
@@ -69,48 +70,55 @@ def communication_matrix(sizes: list[int], shards: int, seed: int) -> list[list[
     return out
 
 
-def shard_rows(rows: DataFrame, keys: list[str], shards: int = 8, seed: int = 42, blocks: int = BLOCKS, cells: int = CELLS) -> DataFrame:
-    """`rows` (narrow ones; read three times) with shard and slot. keys: the columns that tell rows apart."""
+def shard_rows(rows: DataFrame, keys: list[str], shards: int = 8, seed: int = 42, blocks: int | None = None, cells: int | None = None) -> DataFrame:
+    """`rows` (narrow ones; read four times) with shard and slot. keys: the columns that tell rows apart."""
     spark = rows.sparkSession
-    taken = {c.lower() for c in rows.columns}
-    assert not taken & {"shard", "slot", "_block", "_first", "_second", "_cell", "_rank"}, "column names clash"
+    rows = rows.drop(*[c for c in rows.columns if c.lower() in ("shard", "slot") and c not in keys])
+    p = "_"  # own columns begin as none of the others
+    while any(c.startswith(p) for c in rows.columns):
+        p += "_"
+    block, first, second, cell, rank, edge, offset = (f"{p}{c}" for c in ("block", "first", "second", "cell", "rank", "edges", "offset"))
+    total = rows.count()
+    blocks = blocks or max(BLOCKS, -(-total // ROWS))
+    cells = cells or max(CELLS, -(-total // (shards * ROWS)))
     keyed = materialize(
         rows.withColumns(
             {
-                "_block": F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)).cast("int"),
-                "_first": F.xxhash64(F.lit(seed + 1), *keys),
-                "_second": F.xxhash64(F.lit(seed + 2), *keys),
+                block: F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(blocks)).cast("int"),
+                first: F.xxhash64(F.lit(seed + 1), *keys),
+                second: F.xxhash64(F.lit(seed + 2), *keys),
             }
         ),
         "shard-keys",
     )
     sizes = [0] * blocks
-    for r in keyed.groupBy("_block").count().collect():  # one count for each block
+    for r in keyed.groupBy(block).count().collect():  # one count for each block
         sizes[r[0]] = r[1]
     matrix = communication_matrix(sizes, shards, seed)
-    edges = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], "_block int, _edges array<bigint>")
-    local = Window.partitionBy("_block").orderBy("_first", *keys)
+    edges = spark.createDataFrame([(b, [int(x) for x in np.cumsum(row)]) for b, row in enumerate(matrix)], f"{block} int, {edge} array<bigint>")
+    local = Window.partitionBy(block).orderBy(first, *keys)
     dealt = materialize(
-        keyed.withColumn("_rank", F.row_number().over(local) - 1)
-        .join(F.broadcast(edges), "_block")
-        .withColumn("shard", F.size(F.filter("_edges", lambda e: e <= F.col("_rank"))))
-        .withColumn("_cell", F.pmod(F.shiftright("_second", 32), F.lit(cells)).cast("int"))
-        .drop("_edges", "_rank", "_block", "_first"),
+        keyed.withColumn(rank, F.row_number().over(local) - 1)
+        .join(F.broadcast(edges), block)
+        .withColumn("shard", F.size(F.filter(edge, lambda e: e <= F.col(rank))))
+        .withColumn(cell, F.pmod(F.shiftright(second, 32), F.lit(cells)).cast("int"))
+        .drop(edge, rank, block, first),
         "shard-dealt",
     )
-    places = dealt.groupBy("shard", "_cell").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = places.select("shard", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))  # shards x cells rows
-    again = Window.partitionBy("shard", "_cell").orderBy("_second", *keys)
+    forget(keyed)
+    places = dealt.groupBy("shard", cell).agg(F.count("*").alias(rank))
+    before = Window.partitionBy("shard").orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = places.select("shard", cell, F.coalesce(F.sum(rank).over(before), F.lit(0)).alias(offset))  # shards x cells rows
+    again = Window.partitionBy("shard", cell).orderBy(second, *keys)
     return (
-        dealt.withColumn("_rank", F.row_number().over(again) - 1)
-        .join(F.broadcast(offsets), ["shard", "_cell"])
-        .withColumn("slot", F.col("_offset") + F.col("_rank"))
-        .drop("_cell", "_second", "_rank", "_offset")
+        dealt.withColumn(rank, F.row_number().over(again) - 1)
+        .join(F.broadcast(offsets), ["shard", cell])
+        .withColumn("slot", F.col(offset) + F.col(rank))
+        .drop(cell, second, rank, offset)
     )
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42, blocks: int = BLOCKS, cells: int = CELLS) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8, seed: int = 42, blocks: int | None = None, cells: int | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every document."""
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize, ship, text_or_empty
+from ._common import materialize, scratch, ship, text_or_empty
 
 LENGTH, SEED = 100, 32
 REACH = LENGTH - SEED  # bytes before a seed that its windows can reach
@@ -548,8 +548,9 @@ def hot_seeds(base: DataFrame, salt: int, bits: int, look: int, least: int, most
     return np.array(sorted(r[0] for r in found.orderBy(F.desc("count"), "h").limit(most).collect()), np.int64)
 
 
-def _attempt(docs: DataFrame, salt: int, bits: int, block: int) -> DataFrame:
-    """doc, tie, n_bytes, n_removed, n_spans, failed, kept of every document."""
+@scratch
+def _attempt(docs: DataFrame, salt: int, bits: int, block: int, kept: Callable[[], Column]) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, failed, kept of every document, materialized."""
     # 63 bits of the text's hash, under 0 where there is no doc_id.
     tie = F.shiftrightunsigned(F.xxhash64("bytes"), 1)
     base = docs.select(F.col("doc_id").cast("bigint").alias("id"), text_or_empty().cast("binary").alias("bytes"))
@@ -567,7 +568,9 @@ def _attempt(docs: DataFrame, salt: int, bits: int, block: int) -> DataFrame:
     spans = spans.unionByName(claims.select("doc", "tie", "start", F.col("start").alias("stop"), "piece"))
     spans = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "stop", "piece")).alias("spans"))
     out = base.join(spans, ["doc", "tie"], "left").select("doc", "tie", "bytes", "spans")
-    return out.mapInArrow(_kept, "doc bigint, tie bigint, n_bytes bigint, n_removed bigint, n_spans bigint, failed bigint, kept binary")
+    out = out.mapInArrow(_kept, "doc bigint, tie bigint, n_bytes bigint, n_removed bigint, n_spans bigint, failed bigint, kept binary")
+    known = (F.col("doc") != _NO_ID) | (F.col("tie") >= 0)
+    return materialize(out.select(F.when(known, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "failed", kept().alias("kept")), "suffix-kept")
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, bits: tuple[int, ...] = (64,), kept: Callable[[], Column] = lambda: F.col("kept")) -> DataFrame:
@@ -575,9 +578,7 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, bits: tuple[int, ...] =
     bits: those of the hashes in each attempt, the last for all further ones."""
     ship(docs.sparkSession)
     for salt in itertools.count():
-        out = _attempt(docs, salt, bits[min(salt, len(bits) - 1)], block)
-        known = (F.col("doc") != _NO_ID) | (F.col("tie") >= 0)
-        out = materialize(out.select(F.when(known, F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "failed", kept().alias("kept")), "suffix-kept")
+        out = _attempt(docs, salt, bits[min(salt, len(bits) - 1)], block, kept)
         if out.filter("failed > 0").isEmpty():
             return out.drop("failed")
 

@@ -11,12 +11,13 @@ shares. Counting and features run on the executors; the driver gets a bounded le
 Scoring reads texts only: no label, language, source or id. It is narrow.
 
 Defined cases: null and empty texts have no words and still get a score; repeated labels of a doc_id count
-once (the highest); null labels are left out; without rows of both classes every score is the toxic share
+once (the highest); null labels are left out; of a labelled doc_id's several texts one is fitted on; without rows of both classes every score is the toxic share
 of what labels there are (0 without labels); an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections import Counter
@@ -28,11 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_rows, ship, text_or_empty
+from ._common import forget, map_rows, materialize, ship, text_or_empty
 
 #: The bound of the sample that a model is fitted on.
 MOST_TOXIC, MOST_CLEAN = 3000, 6000
-#: Entries of a lexicon, least document count of an entry, least odds ratio.
+#: Entries that the model's lexicon may have (its size, as the number of trees), least document count of an entry, least odds ratio.
 LEXICON, LEAST_COUNT, LEAST_ODDS = 3000, 3, 4.0
 STRONG = 2.5  # log odds of a strong entry
 BEGINNINGS = (3, 4, 5, 6, 7)
@@ -224,34 +225,43 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def _sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[int, int]]:
-    """doc_id, toxic, text of the sample, and how many labelled rows there are of either class. The ids are
-    at most MOST_TOXIC + MOST_CLEAN, so they are broadcast and texts aren't shuffled."""
+    """doc_id, toxic, text of the sample (materialized), and how many labelled rows there are of either class. The ids
+    are at most MOST_TOXIC + MOST_CLEAN, so they are broadcast and other texts aren't shuffled. A doc_id with several
+    texts gives the one of least hash, so the sample has no more rows than ids."""
     known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).filter(~held_out())
     counts = {r[0]: r[1] for r in known.groupBy("toxic").count().collect()}
     order = (F.xxhash64(F.col("doc_id"), F.lit(42)), F.col("doc_id"))
     ids = known.filter("toxic = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.filter("toxic = 0").orderBy(*order).limit(MOST_CLEAN))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(ids), "doc_id")
-    return rows, counts
+    rows = rows.groupBy("doc_id", "toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"))
+    return materialize(rows.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "doc_id"), "toxicity-sample"), counts
 
 
 def _half(doc_id: int) -> int:
     return zlib.crc32(f"half {doc_id}".encode()) & 1
 
 
-def _lexicon(counts: pd.DataFrame, halves: tuple[int, ...], totals: dict[tuple[int, int], int]) -> dict[str, float]:
+def _lexicon(found: DataFrame, halves: tuple[int, ...], totals: dict[tuple[int, int], int]) -> dict[str, float]:
+    """Entries that favour toxic rows of these halves, with their log odds: the LEXICON ones that most toxic rows have."""
     n1, n0 = (sum(totals.get((h, c), 0) for h in halves) for c in (1, 0))
-    pos, neg = (sum(counts[f"n{h}{c}"] for h in halves) for c in (1, 0))
-    odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
-    # An entry has to be certain enough too: one standard error of the log odds is taken off.
-    safe = odds - np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) * 0.5
-    keep = counts.assign(odds=odds, safe=safe, pos=pos)[(pos >= LEAST_COUNT) & (odds >= np.log(LEAST_ODDS)) & (safe > 0)]
-    keep = keep.sort_values(["pos", "safe", "entry"], ascending=[False, False, True]).head(LEXICON)
-    return dict(zip(keep["entry"], keep["odds"].astype(float), strict=True))
+    pos, neg = (functools.reduce(Column.__add__, [F.col(f"n{h}{c}") for h in halves]) for c in (1, 0))
+    odds = F.log((pos + 0.5) / (n1 + 1)) - F.log((neg + 0.5) / (n0 + 1))
+    # An entry has to be certain enough too: half a standard error of the log odds is taken off.
+    safe = odds - F.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) * 0.5
+    keep = found.select("entry", pos.alias("pos"), odds.alias("odds"), safe.alias("safe")).filter((F.col("pos") >= LEAST_COUNT) & (F.col("odds") >= float(np.log(LEAST_ODDS))) & (F.col("safe") > 0))
+    return {r["entry"]: r["odds"] for r in keep.orderBy(F.desc("pos"), F.desc("safe"), "entry").limit(LEXICON).collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ship(docs.sparkSession)
     rows, counts = _sample(docs, labels)
+    try:
+        return _fitted(rows, counts)
+    finally:
+        forget(rows)
+
+
+def _fitted(rows: DataFrame, counts: dict[int, int]) -> Model:
     total = sum(counts.values())
     if not counts.get(0) or not counts.get(1):
         return Model({}, None, None, counts.get(1, 0) / total if total else 0.0)
@@ -269,12 +279,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     both = [f"n{h}{c}" for h in (0, 1) for c in (0, 1)]
     found = map_rows(rows.select("doc_id", "toxic", "text"), counting, "entry string, n00 bigint, n01 bigint, n10 bigint, n11 bigint")
-    found = found.groupBy("entry").agg(*[F.sum(c).alias(c) for c in both]).filter(F.col("n01") + F.col("n11") >= LEAST_COUNT)
-    # The candidates that most favour toxic rows; a fixed number goes to the driver.
-    table = found.orderBy(F.desc((F.col("n01") + F.col("n11")) / MOST_TOXIC - (F.col("n00") + F.col("n10")) / MOST_CLEAN), "entry").limit(20 * LEXICON).toPandas()
+    found = materialize(found.groupBy("entry").agg(*[F.sum(c).alias(c) for c in both]).filter(F.col("n01") + F.col("n11") >= LEAST_COUNT), "toxicity-entries")
     sizes = {(r[0], r[1]): r[2] for r in map_rows(rows.select("doc_id", "toxic"), lambda: lambda c: {"half": [_half(i) for i in c["doc_id"]], "toxic": c["toxic"]}, "half int, toxic int").groupBy("half", "toxic").count().collect()}
-    lexicons = {0: _lexicon(table, (1,), sizes), 1: _lexicon(table, (0,), sizes)}
-    whole = _lexicon(table, (0, 1), sizes)
+    lexicons = {0: _lexicon(found, (1,), sizes), 1: _lexicon(found, (0,), sizes)}
+    whole = _lexicon(found, (0, 1), sizes)
+    forget(found)
 
     def measuring():
         makers = {h: Featurizer(lexicons[h]) for h in (0, 1)}

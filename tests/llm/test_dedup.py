@@ -182,7 +182,7 @@ def test_repeated_strings_with_colliding_hashes(spark):
     """Hashes of 10 bits link places of other bytes; these are found by comparing, and another attempt is made."""
     rows = [x for x in repeat_rows() if x[0] is not None][::4]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
-    first = suffix._attempt(df, 0, 10, suffix.BLOCK).collect()
+    first = suffix._attempt(df, 0, 10, suffix.BLOCK, lambda: F.col("kept")).collect()
     assert sum(x.failed for x in first) > 0
     got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, hashlib.sha256(x.kept).hexdigest()) for x in suffix.remove_repeats(df, bits=(10, 64)).collect()}
     assert got == removed(rows)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import struct
+import zlib
 
 import pytest
 from hypothesis import given, settings
@@ -54,18 +55,53 @@ def test_foreign_layouts():
             mk.parse(data[:cut] + b"\0")
 
 
+def test_damaged_media():
+    """Whatever is done to the bytes, parsing gives packets inside them with times and tracks of 64 bits, or says Damaged."""
+    r, e, u = random.Random(31), mk.element, mk.unsigned
+    whole, parsed, damaged = mk.mux(r.randbytes(9_024)), 0, 0
+    odd = [e(mk.EBML, b"") + e(mk.SEGMENT, e(mk.INFO, e(mk.DURATION, b"12345")))]
+    odd += [e(mk.EBML, b"") + e(mk.SEGMENT, e(mk.INFO, u(mk.TIMESTAMP_SCALE, 1 << 60)) + e(mk.CLUSTER, u(mk.TIMESTAMP, 1 << 40) + e(mk.SIMPLE_BLOCK, b"\x81\0\0\0x")))]
+    tiny = e(mk.AUDIO, e(mk.SAMPLING_FREQUENCY, struct.pack(">d", 5e-324)) + u(mk.CHANNELS, 1) + u(mk.BIT_DEPTH, 8))
+    odd += [e(mk.EBML, b"") + e(mk.SEGMENT, e(mk.TRACKS, e(mk.TRACK_ENTRY, u(mk.TRACK_NUMBER, 1) + tiny)) + e(mk.CLUSTER, e(mk.SIMPLE_BLOCK, b"\x81\0\0\x04" + mk.lace([b"ab", b"cd"], 2))))]
+    for case in range(3000 + len(odd)):
+        data = bytearray(whole)
+        for _ in range(r.randrange(1, 4)):
+            at = r.choice([r.randrange(len(data)), r.randrange(300)])
+            data[at] = r.randrange(256)
+        data = odd[case - 3000] if case >= 3000 else bytes(data[: r.choice([len(data), r.randrange(len(data))])])
+        try:
+            m = mk.parse(data)
+        except mk.Damaged:
+            damaged += 1
+            continue
+        parsed += 1
+        assert all(0 <= p.offset <= p.offset + p.size <= len(data) and abs(p.timestamp_ns) < 1 << 63 and 0 <= p.track < 1 << 63 for p in m.packets)
+        assert mk.feature(m)
+    assert parsed > 200 and damaged > 200
+    for data in odd:
+        with pytest.raises(mk.Damaged):
+            mk.parse(data)
+
+
 def test_media_operators(spark):
     rows = [(1, "x" * 5000), (2, None), (3, ""), (None, "ä" * 40), (3, "")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string").selectExpr("*", "'clash' as n_bytes", "1 as media_bytes")
     got = mk.media_features(df).collect()
     assert len(got) == 5
     by = {(r.doc_id, r.n_bytes): r for r in got}
+    media = {(r.doc_id, bytes(r.media)) for r in mk.to_media(df).collect()}
+    for i, t in rows:
+        data = (t or "").encode()
+        payload = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
+        r = by[i, len(data)]
+        assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert any(i == k and (len(m), hashlib.sha256(m).hexdigest()) == (r.media_bytes, r.media_sha256) and payload[:64] in m for k, m in media)
     assert by[2, 0].payload_sha256 == hashlib.sha256(bytes(64)).hexdigest() == by[3, 0].payload_sha256
     assert by[None, 80].payload_bytes == 128
     media = mk.to_media(df)
-    table = mk.packet_table(media.unionByName(spark.createDataFrame([(9, b"junk"), (10, None)], "doc_id bigint, media binary")))
+    table = mk.packet_table(media.unionByName(spark.createDataFrame([(9, b"junk"), (10, None), (11, mk.element(mk.EBML, b"") + mk.element(mk.SEGMENT, mk.element(mk.INFO, mk.element(mk.DURATION, b"12345"))))], "doc_id bigint, media binary")))
     assert table.filter("doc_id = 1").selectExpr("sum(byte_size)").first()[0] == 5056
-    assert table.filter("doc_id = 9").first().error and table.filter("doc_id = 10").count() == 0
+    assert table.filter("doc_id = 9").first().error and "float" in table.filter("doc_id = 11").first().error and table.filter("doc_id = 10").count() == 0
     assert mk.media_features(df.limit(0)).count() == 0
 
 

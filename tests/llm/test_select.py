@@ -153,6 +153,8 @@ def test_shards(spark):
     plain = [(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode()), "rows", None) for i, t in rows]
     assert sorted(map(str, plain)) == sorted(str((r.doc_id, r["size"], r.text_crc32, r.law, r.grown_shard)) for r in a)
     assert sharding.shard_documents(df.limit(0)).count() == 0
+    own = sharding.shard_rows(df.selectExpr("doc_id", "text", "3 as shard", "'x' as Slot", "1 as _block", "2 as __rank"), ["doc_id", "text"])
+    assert set(own.columns) == {"doc_id", "text", "_block", "__rank", "shard", "slot"} and own.agg(F.max("shard")).first()[0] == 7
     # Uniform: over seeds, each shard gets a row about equally often.
     few = spark.createDataFrame([(i, "x") for i in range(16)], "doc_id bigint, text string")
     hits = collections.Counter(r.shard for seed in range(24) for r in sharding.shard_documents(few, seed=seed, blocks=4, cells=2).collect() if r.doc_id == 3)
