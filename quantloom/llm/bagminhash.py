@@ -286,8 +286,7 @@ def _asked(base: DataFrame, ids: DataFrame) -> DataFrame:
     near = base.withColumn("_at", at()).join(F.broadcast(seen), "_at", "left_semi").drop("_at")
     wanted = ids.select("tid", F.col("doc").alias("_doc"), F.col("digest").alias("_digest"))
     met = near.join(wanted, near["doc"].eqNullSafe(wanted["_doc"]) & (near["digest"] == wanted["_digest"])).select("tid", "bytes").dropDuplicates(["tid"])
-    # Python looks at these texts, so they are dealt out by number, not by bytes.
-    return materialize(met.repartition(int(base.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid"), "bag-asked")
+    return materialize(met, "bag-asked")
 
 
 def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
@@ -316,7 +315,10 @@ def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame, texts: Da
     """Candidate pairs between texts outside their bucket's largest component and those of other components."""
     at = buckets.select(F.col("key").alias("x_key"), "h_comp")
     held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key")
-    fine = asked.select("tid", "bytes").mapInArrow(_fine_rows, "tid bigint, fine array<bigint>")
+    held = materialize(held, "bag-held-rows")
+    # Python looks at these texts, so they are dealt out by number, not by bytes; only those still held have finer sketches.
+    dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid")
+    fine = dealt.join(held.select("tid").distinct(), "tid", "left_semi").select("tid", "bytes").mapInArrow(_fine_rows, "tid bigint, fine array<bigint>")
     held = materialize(held.join(fine, "tid").join(texts.select("tid", "bands"), "tid"), "bag-held")
     out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("tid", "weight", "s0", "s1", "comp", "fine", "bands")]), "bag-outside")
     asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("tid") < F.col("x_tid"))) & _may_match("", "x_")
