@@ -24,8 +24,23 @@ def week_start(ts: str) -> Column:
     return F.date_sub(F.col(ts).cast("date"), F.weekday(F.col(ts).cast("date")))
 
 
-def local_to_utc(ts: Column, zone: str) -> Column:
-    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+def local_to_utc(ts: Column, zone: str, second: Column | None = None) -> Column:
+    """UTC of a local time. A time that the clocks skip becomes the first one after the gap (gaps begin at a full hour and
+    last an hour at most); one that comes twice is the first, or the second where `second` is true."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    back = utc_to_local(utc, zone)
+    late = F.timestamp_diff("MICROSECOND", F.date_trunc("HOUR", ts).cast("timestamp_ntz"), ts)
+    out = F.when(back != ts, F.timestamp_add("MICROSECOND", F.negative(late), utc)).otherwise(utc)
+    if second is None:
+        return out
+    later = F.timestamp_add("HOUR", F.lit(1), utc)
+    return F.when(second & is_ambiguous(ts, zone), later).otherwise(out)
+
+
+def is_ambiguous(ts: Column, zone: str) -> Column:
+    """True for local times that come twice: an hour later in UTC the clock shows the same."""
+    utc = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    return utc_to_local(F.timestamp_add("HOUR", F.lit(1), utc), zone) == ts
 
 
 def utc_to_local(ts: Column, zone: str) -> Column:

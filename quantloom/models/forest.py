@@ -12,10 +12,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .metrics import classification_metrics
 from .scaling import fit_scaler, scale
 
-#: The grid of trees, depth (None: as deep as MLlib goes), rows of a leaf, features of a split.
+#: The grid of trees, depth (None: as deep as MLlib goes), rows of a leaf, features of a split (fixed values).
 GRID = {"trees": (200, 400), "depth": (None, 10), "leaf": (5, 10), "features": ("sqrt", "all")}
 
 
@@ -41,6 +42,7 @@ def score(df: DataFrame, model: RandomForestClassificationModel, scaler: dict, c
 
 def tune(df: DataFrame, columns: list[str], day: str = "day", grid: dict = GRID, seed: int = 42) -> tuple[dict, list[dict]]:
     """Leave-one-day-out metrics of each grid point; the strictly best mean F1 wins."""
+    df = written(df.select(*columns, day, "y"), "tuning")  # read again for each fold and grid point
     days, results = [r[0] for r in df.select(day).distinct().orderBy(day).collect()], []
     for values in product(*grid.values()):
         point = dict(zip(grid, values, strict=True))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators import explore
 from ..operators.cv import split_last_day
 from .scaling import scaled
 
@@ -32,9 +33,7 @@ def forward_return_stats(df: DataFrame) -> DataFrame:
 
 
 def describe(df: DataFrame, column: str) -> DataFrame:
-    c = F.col(column)
-    p = lambda q: F.percentile(c, F.lit(q))
-    return df.agg(F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).alias("min"), p(0.25).alias("p25"), p(0.5).alias("p50"), p(0.75).alias("p75"), F.max(c).alias("max"))
+    return explore.describe(df, [column]).drop("column")
 
 
 def prepare(df: DataFrame, features: list[str], threshold: float = 0.5, proba: str = "rf_proba_reversion", day: str = "date") -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles
 from ..functions.stats import aic, bic
 
 
@@ -187,7 +188,8 @@ def tune(df: DataFrame, columns: list[str], day: str, grid: list[GMMParams]) ->
 def choose_threshold(scored: DataFrame, quantile: float = 0.05, column: str = "gmm_loglik") -> DataFrame:
     """threshold (linear interpolation), mean and population deviation of the scores; quantile clipped to [0, 1]."""
     q = min(max(quantile, 0.0), 1.0)
-    return scored.agg(F.percentile(column, F.lit(q)).alias("threshold"), F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    moments = scored.agg(F.avg(column).alias("mean"), F.stddev_pop(column).alias("std"))
+    return percentiles(scored, column, [q]).select(F.col("q")[0].alias("threshold")).crossJoin(moments)
 
 
 def flag_candidates(scored: DataFrame, threshold: DataFrame, column: str = "gmm_loglik") -> DataFrame:

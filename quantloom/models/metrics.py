@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles, running_sums
+
 
 def _ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(0.0)
@@ -21,11 +23,10 @@ def _rates(c: DataFrame) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "proba") -> DataFrame:
-    """auc by mid-ranks (NULL if there is one class): counts of equal scores first, so that ranks are over the
-    distinct scores."""
+    """auc by mid-ranks (NULL if there is one class): counts of equal scores first, then ranks of the distinct
+    scores from running counts over their ranges."""
     per = df.groupBy(F.col(score).alias("_s")).agg(F.sum(F.col(y).cast("bigint")).alias("_p"), F.count("*").alias("_n"))
-    below = F.coalesce(F.sum("_n").over(Window.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = per.withColumn("_r", below + (F.col("_n") + 1) / 2)
+    ranked = running_sums(per, "_s", ("_n",)).withColumn("_r", F.col("cum__n") - F.col("_n") + (F.col("_n") + 1) / 2)
     out = ranked.agg(F.sum(F.col("_p") * F.col("_r")).alias("_sum"), F.sum("_p").cast("double").alias("_pos"), F.sum(F.col("_n") - F.col("_p")).cast("double").alias("_neg"))
     return out.select(F.when((F.col("_pos") > 0) & (F.col("_neg") > 0), (F.col("_sum") - F.col("_pos") * (F.col("_pos") + 1) / 2) / (F.col("_pos") * F.col("_neg"))).alias("auc"))
 
@@ -55,14 +56,14 @@ def best_threshold(sweep: DataFrame) -> DataFrame:
 def roc_pr_curve(df: DataFrame, y: str = "y", score: str = "proba") -> DataFrame:
     """threshold, tpr, fpr, precision, recall at each distinct score."""
     per = df.groupBy(F.col(score).alias("threshold")).agg(F.sum(F.col(y).cast("bigint")).alias("p"), F.count("*").alias("n"))
-    down, every = Window.orderBy(F.desc("threshold")), Window.partitionBy(F.lit(0))
-    c = per.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down), "pos": F.sum("p").over(every), "rows": F.sum("n").over(every)})
-    return c.select("threshold", _ratio(F.col("tp"), F.col("pos")).alias("tpr"), _ratio(F.col("seen") - F.col("tp"), F.col("rows") - F.col("pos")).alias("fpr"), _ratio(F.col("tp"), F.col("seen")).alias("precision"))
+    c = running_sums(per, "threshold", ("p", "n"), descending=True)
+    tp, seen, pos, rows = (F.col(x) for x in ("cum_p", "cum_n", "all_p", "all_n"))
+    return c.select("threshold", _ratio(tp, pos).alias("tpr"), _ratio(seen - tp, rows - pos).alias("fpr"), _ratio(tp, seen).alias("precision"))
 
 
 def calibration_curve(df: DataFrame, bins: int = 10, y: str = "y", score: str = "proba") -> DataFrame:
     """bin, mean_pred, mean_y of quantile bins; edges are exact percentiles and empty bins go."""
-    edges = df.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("_e"))
+    edges = percentiles(df, score, [i / bins for i in range(1, bins)]).select(F.col("q").alias("_e"))
     at = F.size(F.filter("_e", lambda e: e < F.col(score)))
     return df.crossJoin(F.broadcast(edges)).groupBy(at.cast("int").alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_pred"), F.avg(F.col(y).cast("double")).alias("mean_y"))
 

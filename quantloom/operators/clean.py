@@ -8,19 +8,32 @@ from pyspark.sql import functions as F
 from ..config import CleaningConfig
 from ..functions import conditions
 from ..functions.stats import share
-from ..functions.timefns import local_to_utc, not_nan
+from ..functions.timefns import is_ambiguous, local_to_utc, not_nan
 
 ORDER = ("ts", "type", "exch", "price", "size")
 KEY = ("ts", "type", "price", "size", "exch", "cond_norm")
 PART = ("ticker", "date")
 
 
-def parse_raw(raw: DataFrame, zone: str = "America/New_York") -> DataFrame:
-    """Strings to types: New York wall clock to UTC, coercing casts, ticker and the UTC date."""
+def parse_raw(raw: DataFrame, zone: str = "America/New_York", row: str | None = None, part: tuple[str, ...] = ("ticker", "date_text")) -> DataFrame:
+    """Strings to types: New York wall clock to UTC, coercing casts, and the date: that of the file (date_text, as
+    M-d-yy) where there is one, else of the UTC time. Header rows (`Dates`) go; rows without a time, or with one that
+    can't be parsed, stay with a NULL ts, so that they are counted.
+
+    row: a column with a row's place in its part. With it, times that come twice when clocks go back are told apart as
+    the rows run: in a part those after the clock's step back are the second ones. Without it they are the first."""
     local = F.try_to_timestamp(F.col("ts")).cast("timestamp_ntz")
-    return raw.filter(F.trim("ts") != "Dates").withColumns(
-        {"ts": local_to_utc(local, zone), "price": not_nan(F.col("price").try_cast("double")), "size": F.col("size").try_cast("double")}
-    ).withColumn("size", F.when(F.col("size") == F.floor("size"), F.col("size").cast("bigint"))).withColumn("date", F.col("ts").cast("date"))
+    rows = raw.filter(F.coalesce(F.trim("ts") != "Dates", F.lit(True))).withColumn("ts", local)
+    second = None
+    if row is not None:
+        w = Window.partitionBy(*part).orderBy(row)
+        rows = rows.withColumn("_back", F.coalesce(F.col("ts") < F.lag("ts", 1).over(w), F.lit(False)) & is_ambiguous(F.col("ts"), zone))
+        rows = rows.withColumn("_second", F.max("_back").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        second = F.col("_second")
+    day = F.to_date(F.try_to_timestamp(F.col("date_text"), F.lit("M-d-yy"))) if "date_text" in raw.columns else F.lit(None).cast("date")
+    rows = rows.withColumns({"ts": local_to_utc(F.col("ts"), zone, second), "price": not_nan(F.col("price").try_cast("double")), "size": F.col("size").try_cast("double")})
+    rows = rows.withColumn("size", F.when(F.col("size") == F.floor("size"), F.col("size").cast("bigint")))
+    return rows.withColumn("date", F.coalesce(day, F.col("ts").cast("date"))).drop("_back", "_second")
 
 
 def drop_reason() -> Column:

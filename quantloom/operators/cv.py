@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timefns import micros
+from ..session import written
 
 
 def lodo_folds(bars: DataFrame, day: str = "date", start: str = "t", end: str = "label_t_end", fallback_end: str = "t_end") -> DataFrame:
@@ -16,7 +17,9 @@ def lodo_folds(bars: DataFrame, day: str = "date", start: str = "t", end: str =
 
 def fold_roles(bars: DataFrame, embargo_minutes: float = 20, day: str = "date", start: str = "t", end: str = "label_t_end", fallback_end: str = "t_end") -> DataFrame:
     """bars times folds with role val, purged, embargoed or train. The folds' table has a row for each day and
-    its bounds come as an array on every row, so there is no join of bars with bars."""
+    its bounds come as an array on every row, so there is no join of bars with bars. bars are read twice, so
+    they are written once."""
+    bars = written(bars, "fold-bars")
     folds = lodo_folds(bars, day, start, end, fallback_end)
     every = folds.agg(F.array_sort(F.collect_list(F.struct("fold", "test_day", "val_start", "val_end"))).alias("_folds"))
     rows = bars.crossJoin(F.broadcast(every)).withColumn("_f", F.explode("_folds")).drop("_folds")

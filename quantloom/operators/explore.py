@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import percentiles
 from ..functions.stats import chi2_sf_10
 from ..functions.timefns import floor_to, micros
 
@@ -29,8 +30,8 @@ def value_counts(df: DataFrame, column: str, top: int | None = None) -> DataFram
 def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, count, mean, std, min, p25, p50, p75, max; percentiles are exact."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])).alias("r")).select("r.*")
-    p = F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), p.alias("_p"), F.max("v").alias("max"))
+    out = long.groupBy("column").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    out = out.join(percentiles(long, "v", [0.25, 0.5, 0.75], ("column",)).withColumnRenamed("q", "_p"), "column", "left")
     return out.select("column", "count", "mean", "std", "min", F.col("_p")[0].alias("p25"), F.col("_p")[1].alias("p50"), F.col("_p")[2].alias("p75"), "max")
 
 

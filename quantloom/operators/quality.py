@@ -3,11 +3,12 @@ file-by-file run fail is a row with a status here."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import CleaningConfig
 from ..functions.stats import share
+from ..session import written
 from . import clean, nbbo
 
 PART = ("ticker", "date")
@@ -16,7 +17,8 @@ PART = ("ticker", "date")
 def clean_metadata(raw: DataFrame, config: CleaningConfig = CleaningConfig(), part: tuple[str, ...] = PART) -> DataFrame:
     """A row for each part with the counters of every step."""
     valid = clean.with_cond_norm(clean.valid_rows(raw), config.strict_null_cond)
-    rows = clean.dedup_keep_last(valid, part=part)
+    # Read by several counters each, so written once.
+    rows = written(clean.dedup_keep_last(valid, part=part), "metadata-rows")
     quotes, trades = clean.quotes(rows), clean.trades(rows)
     book = nbbo.build_nbbo(quotes, config.ffill_cap_seconds, part)
     merged = nbbo.merge_nbbo(trades, book)
@@ -31,7 +33,19 @@ def clean_metadata(raw: DataFrame, config: CleaningConfig = CleaningConfig(), pa
     zero = [c for c in ("duplicates_removed", "dup_pct", "crossed_quotes", "crossed_quotes_pct", "_trades", "_met", "final_rows", "trades_dropped_by_cond")]
     out = out.na.fill(0, zero).na.fill("", ["unknown_cond_codes"])
     out = out.withColumns({"trades_dropped_no_nbbo": F.col("_trades") - F.col("_met"), "nbbo_coverage_pct": share(F.col("_met"), F.col("_trades"))})
-    return out.withColumn("status", F.when(F.col("final_rows") > 0, "success").otherwise("failed")).drop("_trades", "_met")
+    return out.withColumns({"status": F.when(F.col("final_rows") > 0, "success").otherwise("failed"), "error": _error()}).drop("_trades", "_met")
+
+
+def _error() -> Column:
+    """Why a part failed: the first step that left none of its rows; empty where it didn't fail."""
+    dropped = F.col("dropped_invalid_price") + F.col("dropped_invalid_size") + F.col("dropped_nulls")
+    return (
+        F.when(F.col("final_rows") > 0, "")
+        .when(F.col("raw_rows") <= dropped, "no valid rows")
+        .when(F.col("_trades") == 0, "no trades")
+        .when(F.col("_met") == 0, "no quotes for any trade")
+        .otherwise("no trades left by the condition filter")
+    )
 
 
 def quality_gates(metadata: DataFrame, config: CleaningConfig = CleaningConfig()) -> DataFrame:

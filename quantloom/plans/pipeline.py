@@ -9,11 +9,13 @@ from ..operators import bars as bars_
 from ..operators import clean, nbbo
 from ..operators.features import engineer_features
 from ..operators.labels import label_bars
+from ..session import written
 
 
 def clean_trades(raw: DataFrame, config: CleaningConfig = CleaningConfig(), narrow: bool = False) -> DataFrame:
     """Trades with the quote that held, codes filtered, flags set. All steps are keyed by ticker and date."""
-    rows = clean.prepared(raw, config)
+    # Quotes and trades both read these rows; written once, so that raw rows are scanned and deduplicated once.
+    rows = written(clean.prepared(raw, config), "prepared")
     book = nbbo.build_nbbo(clean.quotes(rows), config.ffill_cap_seconds)
     out = nbbo.merge_nbbo(clean.trades(rows), book)
     if config.compute_microstructure_flags:

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import CleaningConfig, FeatureConfig, LabelConfig, ProcessingConfig
+from ..config import CleaningConfig, FeatureConfig, LabelConfig, ProcessingConfig, config_hash, dump_config, load_config, plain
 from ..functions import conditions
-from ..functions.timefns import local_to_utc
-from ..models import forest, gbm_data, gmm, metrics, quantile_boost, scaling
+from ..functions.timefns import local_to_utc, utc_to_local
+from ..models import forest, gbm_data, gmm, metrics, persist, quantile_boost, scaling
 from ..operators import backtest, bars, clean, cv, explore, features, labels, nbbo, quality
 from ..session import shared_path, written
 from ..sources import fixtures, ticks
@@ -66,7 +68,7 @@ def _quotes(s: SparkSession, d: str) -> DataFrame:
 
 
 def _merged(s: SparkSession, d: str) -> DataFrame:
-    rows = _ticks(s, d)
+    rows = written(_ticks(s, d), "ticks")
     return nbbo.merge_nbbo(clean.trades(rows), nbbo.build_nbbo(clean.quotes(rows), CAP_SECONDS))
 
 
@@ -104,9 +106,64 @@ def _trades(s: SparkSession, d: str) -> DataFrame:
 _RAW = "event_id, ticker, date, ts, type, " + _r("price") + ", size, exch, cond"
 
 
+def _two_tables(s: SparkSession, d: str) -> DataFrame:
+    """The raw ticks in two Parquet tables with their columns in another order, and a file that isn't Parquet, scanned as one."""
+    path, rows = shared_path(s, "union"), _raw(s, d)
+    rows.filter("ticker <= 'T1'").write.parquet(f"{path}/a")
+    rows.filter("ticker > 'T1'").select(*reversed(rows.columns)).write.parquet(f"{path}/b")
+    s.createDataFrame([("not a table",)], "value string").coalesce(1).write.text(f"{path}/c")
+    jvm = s.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(s.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.Path(f"{path}/c/part-*")):
+        fs.rename(found.getPath(), jvm.Path(f"{path}/b/broken.parquet"))
+    return ticks.scan_parquet(s, f"{path}/a", f"{path}/b")
+
+
 @register("s5_scan_union", f"select {_RAW} from raw")
 def s5_scan_union(s, d):
-    return rounded(_raw(s, d))
+    return rounded(_two_tables(s, d).select("event_id", "ticker", "date", "ts", "type", "price", "size", "exch", "cond"))
+
+
+@register("s5_skipped_files", "select 'broken.parquet' file, 'failed' status, 'no rows could be read' error")
+def s5_skipped_files(s, d):
+    return ticks.skipped_files(_two_tables(s, d))
+
+
+@register("s5_scan_tickers", "select ticker, count(*) n from raw where ticker in ('T0', 'T3') group by ticker")
+def s5_scan_tickers(s, d):
+    path = shared_path(s, "tickers")
+    _raw(s, d).write.parquet(path)
+    return ticks.scan_parquet(s, path, tickers=["T0", "T3"]).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@register("s7_config", "select * from (values ('bar_method', true), ('changed', false), ('features', true), ('labels', true)) v(name, equal)")
+def s7_config(s, d):
+    """The knobs dumped as YAML and loaded again; their hash tells a changed one."""
+    with tempfile.TemporaryDirectory() as folder:
+        out = dump_config(PROCESSING, f"{folder}/knobs.yaml")
+        back = load_config(f"{folder}/knobs.yaml")
+    changed = replace(PROCESSING, labels=replace(PROCESSING.labels, k=9.0))
+    rows = [("bar_method", plain(back) == plain(PROCESSING)), ("features", back.features == PROCESSING.features), ("labels", back.labels == PROCESSING.labels), ("changed", config_hash(changed) == out["config_hash"])]
+    return s.createDataFrame(rows, "name string, equal boolean")
+
+
+@register("s9_persistence", "select count(*) n, cast(0 as bigint) different from embeddings")
+def s9_persistence(s, d):
+    """A mixture saved and loaded scores every vector as before."""
+    rows, model = _mixture(s, d, "diag", 5)
+    path = shared_path(s, "model")
+    persist.save_mixture(s, model, path)
+    a = gmm.score(rows, model).select("vec_id", F.col("gmm_loglik").alias("a"), F.col("gmm_component").alias("ca"))
+    b = gmm.score(rows, persist.load_mixture(s, path)).select(F.col("vec_id").alias("id"), F.col("gmm_loglik").alias("b"), F.col("gmm_component").alias("cb"))
+    return a.join(b, F.col("vec_id") == F.col("id")).agg(F.count("*").alias("n"), F.count_if((F.abs(F.col("a") - F.col("b")) > 1e-9) | (F.col("ca") != F.col("cb"))).alias("different"))
+
+
+@register("s11_copy", "select count(*) n, count(distinct event_id) ids, " + _r("total=sum(price)", 4) + " from raw")
+def s11_copy(s, d):
+    path = shared_path(s, "copy")
+    _raw(s, d).write.parquet(f"{path}/a")
+    ticks.copy_table(s, f"{path}/a", f"{path}/b")
+    return rounded(s.read.parquet(f"{path}/b").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"), F.sum("price").alias("total")), 4)
 
 
 @register("s6_parquet_sink", "select ticker, date, count(*) n, " + _r("volume=sum(size)") + " from cleaned group by all")
@@ -117,20 +174,25 @@ def s6_parquet_sink(s, d):
     return rounded(back.groupBy(F.col("ticker").cast("string").alias("ticker"), F.col("date").cast("date").alias("date")).agg(F.count("*").alias("n"), F.sum("size").cast("double").alias("volume")))
 
 
+def _exported(s: SparkSession, d: str) -> str:
+    path = shared_path(s, "raw")
+    ticks.export_raw_csv(_raw(s, d).withColumns({"ts": F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), "price": F.col("price").cast("string"), "size": F.col("size").cast("string")}), path)
+    return path
+
+
 @register("s2_s3_s4_csv_scan", "select ticker, strftime(date, '%-m-%-d-%y') date_text, count(*) n, " + _r("total=sum(price)", 4) + ", count(distinct ts) times from raw group by all")
 def s2_s3_s4_csv_scan(s, d):
-    """The raw ticks written as text folders TICKER/TICKER_DATE.csv with junk lines, then scanned."""
-    path = shared_path(s, "raw")
-    rows = _raw(s, d).withColumn("date_text", F.date_format("date", "M-d-yy"))
-    line = F.to_csv(F.struct(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "type", "price", "size", "cond", "exch", F.lit("").alias("a"), F.lit("").alias("b")))
-    lines = rows.select("ticker", "date_text", line.alias("value"))
-    junk = rows.select("ticker", "date_text").distinct().withColumn("value", F.explode(F.array(F.lit("junk"), F.lit("more junk"), F.lit("Dates,Type,Price,Size,Codes,Exch,a,b"))))
-    lines.unionByName(junk).withColumn("file", F.concat("ticker", F.lit("_"), "date_text", F.lit(".csv"))).drop("date_text").write.partitionBy("ticker", "file").text(path)
-    raw = s.read.schema(", ".join(f"{c} string" for c in ticks.RAW_COLUMNS)).csv(path + "/*/*/").select(*ticks.RAW_COLUMNS, F.regexp_extract(F.col("_metadata.file_path"), "ticker=([^/]+)/", 1).alias("ticker"), F.regexp_extract(F.col("_metadata.file_path"), r"file=[^/_]+_([^/]+)\.csv/", 1).alias("date_text"))
-    rows = ticks.drop_junk(raw)
+    """The raw ticks as files TICKER/TICKER_DATE.csv with junk lines, then scanned."""
+    rows = ticks.drop_junk(ticks.scan_raw_csv(s, _exported(s, d), "*.csv"))
     return rounded(rows.groupBy("ticker", "date_text").agg(F.count("*").alias("n"), F.sum(F.col("price").cast("double")).alias("total"), F.countDistinct("ts").alias("times")), 4)
 
 
+@register("s3_glob", "select ticker, strftime(date, '%-m-%-d-%y') date_text, count(*) n from raw where strftime(date, '%-m') = '1' group by all")
+def s3_glob(s, d):
+    """Only the files of one month."""
+    return ticks.drop_junk(ticks.scan_raw_csv(s, _exported(s, d), "*_1-*.csv")).groupBy("ticker", "date_text").agg(F.count("*").alias("n"))
+
+
 @register("s8_metadata_sinks", "select ticker, count(*) n from raw group by ticker")
 def s8_metadata_sinks(s, d):
     path = shared_path(s, "metadata")
@@ -139,6 +201,14 @@ def s8_metadata_sinks(s, d):
     return a.intersect(s.read.schema("ticker string, n bigint").option("header", "true").csv(f"{path}.csv"))
 
 
+@register("s10_codebook_scan", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in conditions.CODEBOOK.items()) + ") v(code, bucket)")
+def s10_codebook_scan(s, d):
+    """The codebook as CSV, read back."""
+    path = shared_path(s, "codes")
+    ticks.codebook_table(s).withColumns({"description": F.lit("of the fixed list"), "source": F.lit("")}).coalesce(1).write.option("header", "true").csv(path)
+    return ticks.scan_codebook(s, path).select("code", "bucket")
+
+
 @register("s10_codebook", "select * from (values " + ", ".join(f"('{k}', '{v}')" for k, v in conditions.CODEBOOK.items()) + ") v(code, bucket)")
 def s10_codebook(s, d):
     return ticks.codebook_table(s)
@@ -154,9 +224,45 @@ def c1_c3_parse(s, d):
     return rounded(clean.parse_raw(raw).select("event_id", "ts", "price", "size"))
 
 
-@register("c2_timezones", "select event_id, ts + interval 5 hour utc from events")
+_ZONE = dict(
+    walls="""select event_id, case event_id % 3 when 0 then ts when 1 then timestamp '2025-03-08 22:00:00' + to_minutes(cast(event_id // 3 % 600 as bigint))
+      else timestamp '2025-11-01 22:00:00' + to_minutes(cast(event_id // 3 % 600 as bigint)) end "local" from events"""
+)
+
+
+def _walls(s: SparkSession, d: str) -> DataFrame:
+    """Local times around both changes of the clocks of 2025, and the events' own (in winter)."""
+    minute = F.floor(F.col("event_id") / 3) % 600
+    near = lambda t: F.timestamp_add("MINUTE", minute.cast("int"), F.lit(t).cast("timestamp_ntz"))
+    kind = F.col("event_id") % 3
+    return fixtures.table(s, d, "events").select("event_id", F.when(kind == 0, F.col("ts").cast("timestamp_ntz")).when(kind == 1, near("2025-03-08 22:00:00")).otherwise(near("2025-11-01 22:00:00")).alias("local"))
+
+
+# The times that come twice count as the first here.
+@register("c2_timezones", """select event_id, case when "local" >= timestamp '2025-03-09 02:00:00' and "local" < timestamp '2025-03-09 03:00:00' then timestamp '2025-03-09 07:00:00'
+  when "local" >= timestamp '2025-03-09 03:00:00' and "local" < timestamp '2025-11-02 02:00:00' then "local" + interval 4 hour else "local" + interval 5 hour end utc from walls""", **_ZONE)
 def c2_timezones(s, d):
-    return fixtures.table(s, d, "events").select("event_id", local_to_utc(F.col("ts").cast("timestamp_ntz"), "America/New_York").alias("utc"))
+    return _walls(s, d).select("event_id", local_to_utc(F.col("local"), "America/New_York").alias("utc"))
+
+
+@register("c2_inferred", "select place, timestamp '2025-11-02 04:00:00' + to_minutes(place) utc from (select unnest(range(0, 300)) as place) g")
+def c2_inferred(s, d):
+    """Five hours of one file through the night on which clocks go back: its order tells the second hour from the first."""
+    utc = F.timestamp_add("MINUTE", F.col("id").cast("int"), F.lit("2025-11-02 04:00:00").cast("timestamp_ntz"))
+    wall = F.date_format(utc_to_local(utc, "America/New_York"), "yyyy-MM-dd HH:mm:ss")
+    raw = s.range(300).select(F.col("id").alias("place"), wall.alias("ts"), F.lit("T").alias("ticker"), F.lit("11-2-25").alias("date_text"), F.lit("1").alias("price"), F.lit("1").alias("size"))
+    return clean.parse_raw(raw, row="place").select("place", F.col("ts").alias("utc"))
+
+
+@register("c1_c4_file_counts", """select event_id % 5 file, count(*) raw_rows, count(*) filter (where not (event_id % 7 = 0 or event_id % 17 = 0) and event_id % 11 = 0) dropped_invalid_price,
+  count(*) filter (where not (event_id % 7 = 0 or event_id % 17 = 0) and event_id % 11 <> 0 and event_id % 19 = 0) dropped_invalid_size, count(*) filter (where event_id % 7 = 0 or event_id % 17 = 0) dropped_nulls from events group by 1""")
+def c1_c4_file_counts(s, d):
+    """Missing and unparsable times, bad prices and sizes, counted in the file they come from."""
+    e, bad = fixtures.table(s, d, "events"), lambda m: F.col("event_id") % m == 0
+    ts = F.when(bad(7), F.lit(None).cast("string")).when(bad(17), "12 o'clock").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+    raw = e.select(ts.alias("ts"), F.lit("TRADE").alias("type"), F.when(bad(11), "-1").otherwise("2.5").alias("price"), F.when(bad(19), "0").otherwise("3").alias("size"), F.concat(F.lit("T"), (F.col("event_id") % 5).cast("string")).alias("ticker"), F.lit("10-2-25").alias("date_text"))
+    out = clean.drop_counts(clean.parse_raw(raw))
+    return out.filter("date = date'2025-10-02'").select(F.substring("ticker", 2, 1).cast("bigint").alias("file"), "raw_rows", "dropped_invalid_price", "dropped_invalid_size", "dropped_nulls")
 
 
 @register("c4_validity", f"select {_RAW} from valid")
@@ -256,7 +362,7 @@ def j1_asof_join(s, d):
 
 @register("j1_coverage", "select ticker, date, count(*) before, count(mid) after, " + _r("nbbo_coverage_pct=100.0 * count(mid) / count(*)") + " from met group by ticker, date")
 def j1_coverage(s, d):
-    rows = _ticks(s, d)
+    rows = written(_ticks(s, d), "ticks")
     return rounded(nbbo.coverage(clean.trades(rows), nbbo.build_nbbo(clean.quotes(rows), CAP_SECONDS)))
 
 
@@ -385,12 +491,12 @@ def v5_validate(s, d):
 
 @register("v6_split_first_days", "select date, case when no <= 4 then 'train' else 'test' end split, count(*) n from (select date, dense_rank() over (order by date) no from bars) where no <= 5 group by all")
 def v6_split_first_days(s, d):
-    return cv.split_first_days(_bars(s, d)).groupBy("date", "split").agg(F.count("*").alias("n"))
+    return cv.split_first_days(written(_bars(s, d), "bars")).groupBy("date", "split").agg(F.count("*").alias("n"))
 
 
 @register("v7_split_last_day", "select date, case when date = (select max(date) from bars) then 'test' else 'train' end split, count(*) n from bars group by all")
 def v7_split_last_day(s, d):
-    return cv.split_last_day(_bars(s, d)).groupBy("date", "split").agg(F.count("*").alias("n"))
+    return cv.split_last_day(written(_bars(s, d), "bars")).groupBy("date", "split").agg(F.count("*").alias("n"))
 
 
 # --- models ------------------------------------------------------------------------------------------------
@@ -523,10 +629,10 @@ def r7_calibration(s, d):
     return rounded(metrics.calibration_curve(fixtures.scored(s, d)))
 
 
-@register("j2_g1_join_volatility", "select s.id, s.date, " + _r("ewm_std=p.v", 8) + " from scored s left join (select ticker, t, arg_min(ewm_std, id) v from scored where id % 3 = 0 group by ticker, t) p on s.ticker = p.ticker and s.t = p.t")
+@register("j2_g1_join_volatility", "select s.id, s.date, " + _r("ewm_std=p.v", 8) + " from scored s left join (select ticker, t, arg_min(ewm_std, id) v from scored group by ticker, t) p on s.ticker = p.ticker and s.t = p.t")
 def j2_g1_join_volatility(s, d):
     rows = fixtures.scored(s, d)
-    return rounded(gbm_data.join_volatility(rows.drop("ewm_std"), rows.filter("id % 3 = 0").withColumn("bar_id", F.col("id"))).select("id", "date", "ewm_std"), 8)
+    return rounded(gbm_data.join_volatility(rows.drop("ewm_std"), rows.withColumn("bar_id", F.col("id"))).select("id", "date", "ewm_std"), 8)
 
 
 @register("g2_forward_returns", "select label, count(*) n, " + _r("mean=avg(forward_return);std=stddev_samp(forward_return)", 8) + " from returns group by label")
@@ -636,9 +742,9 @@ def e3_describe(s, d):
     return rounded(explore.describe(fixtures.scored(s, d), ["proba", "ewm_std"]))
 
 
-@register("e4_correlations", " union all ".join(f"select '{a}' a, '{b}' b, " + _r(f"corr=corr({a}, {b})") + " from vectors" for i, a in enumerate(VECTORS[:4]) for b in VECTORS[i:4]))
+@register("e4_correlations", " union all ".join(f"select '{a}' a, '{b}' b, " + _r(f"corr=corr({a}, {b})") + " from vectors" for i, a in enumerate(VECTORS) for b in VECTORS[i:]))
 def e4_correlations(s, d):
-    return rounded(explore.correlation_matrix(_vectors(s, d), VECTORS[:4]))
+    return rounded(explore.correlation_matrix(_vectors(s, d), VECTORS))
 
 
 _SLOTS = dict(
@@ -737,7 +843,7 @@ _META = dict(
 )
 
 
-@register("q1_metadata", "select ticker, date, raw_rows, cast(0 as bigint) dropped_invalid_price, dropped_invalid_size, cast(0 as bigint) dropped_nulls, cast(duplicates_removed as bigint) duplicates_removed, " + _r("dup_pct") + ", crossed_quotes, " + _r("crossed_quotes_pct=coalesce(crossed_quotes_pct, 0)") + ", final_rows, met - final_rows trades_dropped_by_cond, codes unknown_cond_codes, trades_n - met trades_dropped_no_nbbo, " + _r("nbbo_coverage_pct=100.0 * met / trades_n") + ", case when final_rows > 0 then 'success' else 'failed' end status from meta", **_META)
+@register("q1_metadata", "select ticker, date, raw_rows, cast(0 as bigint) dropped_invalid_price, dropped_invalid_size, cast(0 as bigint) dropped_nulls, cast(duplicates_removed as bigint) duplicates_removed, " + _r("dup_pct") + ", crossed_quotes, " + _r("crossed_quotes_pct=coalesce(crossed_quotes_pct, 0)") + ", final_rows, met - final_rows trades_dropped_by_cond, codes unknown_cond_codes, trades_n - met trades_dropped_no_nbbo, " + _r("nbbo_coverage_pct=100.0 * met / trades_n") + ", case when final_rows > 0 then 'success' else 'failed' end status, case when final_rows > 0 then '' when raw_rows <= dropped_invalid_size then 'no valid rows' when coalesce(trades_n, 0) = 0 then 'no trades' when met = 0 then 'no quotes for any trade' else 'no trades left by the condition filter' end error from meta", **_META)
 def q1_metadata(s, d):
     return rounded(quality.clean_metadata(_raw(s, d), CLEANING))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.conditions import CODEBOOK
@@ -23,14 +23,51 @@ def scan_raw_csv(spark: SparkSession, path: str, pattern: str = "*_10-*.csv") ->
 
 
 def drop_junk(raw: DataFrame) -> DataFrame:
-    """Rows whose time can't be parsed are junk, headers included (the embedded ones say `Dates`)."""
-    return raw.filter((F.trim("ts") != "Dates") & F.try_to_timestamp(F.col("ts")).isNotNull())
+    """Without header rows (the embedded ones say `Dates`) and junk lines: rows whose time can't be parsed and that don't
+    have a price and a size. Rows with a bad time and both stay; parse_raw and drop_counts count them."""
+    bare = F.col("price").try_cast("double").isNull() | F.col("size").try_cast("double").isNull()
+    junk = (F.trim("ts") == "Dates") | (bare & F.try_to_timestamp(F.col("ts")).isNull())
+    return raw.filter(~F.coalesce(junk, F.lit(False)))
+
+
+def export_raw_csv(rows: DataFrame, path: str) -> None:
+    """Raw ticks (ticker, date, ts and the other raw columns, as strings) as files TICKER/TICKER_DATE.csv with two junk lines and
+    a header, as scan_raw_csv reads them. Spark writes one file for each ticker and date; the driver only renames them."""
+    spark = rows.sparkSession
+    line = F.to_csv(F.struct(*[F.col(c) if c in rows.columns else F.lit("").alias(c) for c in RAW_COLUMNS]))
+    dated = rows.withColumn("date_text", F.date_format("date", "M-d-yy"))
+    head = dated.select("ticker", "date_text").distinct().select("ticker", "date_text", F.posexplode(F.array(F.lit("exported ticks"), F.lit("all times are local"), F.lit("Dates,Type,Price,Size,Condition Codes,Exch,TradeTime,Spread"))).alias("_no", "value"))
+    body = dated.select("ticker", "date_text", F.lit(JUNK_LINES).alias("_no"), line.alias("value"))
+    lines = head.unionByName(body).repartition("ticker", "date_text").sortWithinPartitions("ticker", "date_text", "_no", "value")
+    lines.select("value", "ticker", "date_text").write.partitionBy("ticker", "date_text").text(f"{path}/_parts")
+    jvm = spark.sparkContext._jvm.org.apache.hadoop.fs
+    fs = jvm.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.Path(f"{path}/_parts/ticker=*/date_text=*/part-*")):
+        at = found.getPath()
+        ticker, date = at.getParent().getParent().getName().partition("=")[2], at.getParent().getName().partition("=")[2]
+        fs.mkdirs(jvm.Path(f"{path}/{ticker}"))
+        fs.rename(at, jvm.Path(f"{path}/{ticker}/{ticker}_{date}.csv"))
+    fs.delete(jvm.Path(f"{path}/_parts"), True)
+
+
+def scan_parquet(spark: SparkSession, *paths: str, tickers: list[str] | None = None, merge_schema: bool = False) -> DataFrame:
+    """The union of Parquet tables by name; files that can't be read are skipped. merge_schema: for tables whose
+    columns differ, at the price of reading every file's footer first."""
+    out = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", str(merge_schema).lower()).parquet(*paths)
+    return out.filter(F.col("ticker").isin(tickers)) if tickers is not None else out
 
 
-def scan_parquet(spark: SparkSession, *paths: str, tickers: list[str] | None = None) -> DataFrame:
-    """The union of Parquet tables by name; files that can't be read are skipped."""
-    out = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true").parquet(*paths)
-    return out.filter(F.col("ticker").isin(tickers)) if tickers is not None else out
+def skipped_files(scan: DataFrame) -> DataFrame:
+    """file, status, error of the files of a scan that gave no rows (those that can't be read, and empty ones). Reads no
+    columns. The listing is the driver's own; it has files, not rows."""
+    spark = scan.sparkSession
+    listed = spark.createDataFrame([(f,) for f in scan.inputFiles()], "path string").select(_file_name(F.col("path")).alias("file"))
+    read = scan.select(_file_name(F.col("_metadata.file_path")).alias("file")).distinct()
+    return listed.join(read, "file", "left_anti").select("file", F.lit("failed").alias("status"), F.lit("no rows could be read").alias("error"))
+
+
+def _file_name(path: Column) -> Column:
+    return F.regexp_extract(path, r"([^/]+)$", 1)
 
 
 def sink_parquet(df: DataFrame, path: str, compression: str = "zstd") -> None:

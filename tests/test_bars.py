@@ -5,6 +5,7 @@ import math
 import random
 import statistics as st
 
+import numpy as np
 import pytest
 
 from quantloom.config import FeatureConfig, ProcessingConfig, config_hash, dump_config, load_config
@@ -155,6 +156,30 @@ def test_labels_against_loop(spark):
     assert seen == {"upper", "lower", "time", ""}
 
 
+def test_first_hits_against_loop():
+    r = np.random.default_rng(12)
+    for n in (0, 1, 2, 3, 7, 64, 200):
+        mid = 100 + np.cumsum(r.normal(0, 0.2, n))
+        high, low, t = mid + r.random(n), mid - r.random(n), np.cumsum(r.integers(0, 3, n))
+        up, down, until = mid + r.random(n) * 4, mid - r.random(n) * 4, t + r.integers(1, 60, n)
+        want = [next((j for j in range(i + 1, n) if t[j] < until[i] and (high[j] >= up[i] or low[j] <= down[i])), -1) for i in range(n)]
+        assert labels._first_hits(high, low, up, down, t, until).tolist() == want
+
+
+def test_labels_over_batches(spark):
+    """Bars that wait over several Arrow batches and parts get the labels of one batch."""
+    rows = [(("A", "B", None)[p], *x[1:]) for p in range(3) for x in bar_rows(90, p, step=60)]
+    df = labels.barrier_volatility(spark.createDataFrame(rows, BARS), 50)
+    key = lambda out: sorted((str(x.ticker), x.bar_id, x.label, x.label_barrier_hit, str(x.label_t_end)) for x in out.collect())
+    whole = key(labels.triple_barrier(df, 2.0, 15))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert key(labels.triple_barrier(df, 2.0, 15)) == whole and len(whole) == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert labels.triple_barrier(df.limit(0)).count() == 0
+
+
 def test_fold_roles(spark):
     d1, d2 = dt.date(2025, 10, 1), dt.date(2025, 10, 2)
     m = lambda k: T0 + dt.timedelta(minutes=k)

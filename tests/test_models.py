@@ -44,6 +44,30 @@ def test_quantile_boost_coverage(spark):
     assert 0.84 < out.c < 0.96 and out.p < flat
 
 
+def test_boosted_trees_score_as_mllib(spark):
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, *map(float, r.normal(size=2)), float(r.normal())) for i in range(300)], "id long, a double, b double, y double")
+    model = quantile_boost.train(df, ["a", "b"], "y", 0.3, n_estimators=4, max_depth=3, learning_rate=0.5)
+    rows = df.withColumn("want", F.lit(model.base))
+    for tree, leaves in model.trees:
+        placed = tree.setLeafCol("_leaf").setPredictionCol("_p").transform(quantile_boost.VectorAssembler(inputCols=["a", "b"], outputCol="_x").transform(rows))
+        value = F.create_map(*[F.lit(v) for kv in leaves.items() for v in (float(kv[0]), kv[1])])
+        rows = placed.withColumn("want", F.col("want") + 0.5 * F.element_at(value, F.col("_leaf"))).drop("_leaf", "_p", "_x")
+    got = model.predict(rows, "got").collect()
+    assert len(got) == 300 and all(x.got == pytest.approx(x.want) for x in got) and len({x.got for x in got}) > 8
+
+
+def test_pca_against_eigenvectors(spark):
+    r = np.random.default_rng(6)
+    x = r.normal(size=(200, 3)) @ np.array([[3, 0, 0], [1, 1, 0], [0, 0.2, 0.1]])
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "id long, a double, b double, c double")
+    got = np.array([v.pca for v in explore.pca(df, ["a", "b", "c"]).orderBy("id").collect()])
+    centred = x - x.mean(0)
+    values, vectors = np.linalg.eigh(np.cov(centred.T))
+    want = centred @ vectors[:, ::-1][:, :2]
+    assert np.abs(np.abs(got) - np.abs(want)).max() < 1e-8
+
+
 def test_forest_scores(points):
     rows = points.withColumn("y", (F.col("id") % 2).cast("int"))
     model, scaler = forest.fit(rows, ["a", "b"], trees=5, depth=3)

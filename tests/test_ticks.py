@@ -3,9 +3,10 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from quantloom.functions import conditions
+from quantloom.functions import conditions, ranks, timefns
 from quantloom.operators import clean, nbbo
 from quantloom.sources import ticks
 
@@ -100,6 +101,10 @@ def test_csv_scan_and_sinks(spark, tmp_path):
     rows = ticks.drop_junk(raw).collect()
     assert len(rows) == 2 and {(r.ticker, r.date_text) for r in rows} == {("CCL", "10-2-25")}
     assert {r.cond for r in rows} == {"F,IS", None}
+    (d / "CCL_10-3-25.csv").write_text("junk\njunk,2\nTime,Type,Price,Size,Cond,Exch,a,b\nnot a time,TRADE,10.5,100,,N,,\n,TRADE,1,1,,N,,\n2025-10-03 09:35:00,TRADE,1,x,,N,,\n")
+    counts = clean.drop_counts(clean.parse_raw(ticks.drop_junk(ticks.scan_raw_csv(spark, str(tmp_path / "raw"))))).filter("date = date'2025-10-03'").collect()
+    assert [(r.raw_rows, r.dropped_nulls, r.dropped_invalid_size) for r in counts] == [(3, 2, 1)]
+    (d / "CCL_10-3-25.csv").unlink()
     out = clean.parse_raw(ticks.drop_junk(raw)).drop("date_text")
     ticks.sink_parquet(out, str(tmp_path / "clean"))
     assert ticks.scan_parquet(spark, str(tmp_path / "clean"), tickers=["CCL"]).count() == 2
@@ -109,3 +114,27 @@ def test_csv_scan_and_sinks(spark, tmp_path):
     assert ticks.load_json(spark, str(tmp_path / "doc")) == {"a": [1]}
     (tmp_path / "codes.csv").write_text('code,bucket,description,source\n"",NEUTRAL,blank,x\nF,SOFT_INCLUDE,y,z\n')
     assert {r.code for r in ticks.scan_codebook(spark, str(tmp_path / "codes.csv")).collect()} == {"", "F"}
+
+
+def test_clock_changes(spark):
+    at = lambda *x: dt.datetime(2025, *x)
+    rows = [(at(3, 9, 1, 59), at(3, 9, 6, 59)), (at(3, 9, 2, 0), at(3, 9, 7, 0)), (at(3, 9, 2, 30), at(3, 9, 7, 0)), (at(3, 9, 3, 0), at(3, 9, 7, 0)), (at(11, 2, 0, 59), at(11, 2, 4, 59)), (at(11, 2, 1, 30), at(11, 2, 5, 30)), (at(11, 2, 2, 0), at(11, 2, 7, 0)), (at(7, 4, 9, 30), at(7, 4, 13, 30)), (None, None)]
+    df = spark.createDataFrame(rows, "wall timestamp_ntz, utc timestamp_ntz")
+    got = df.select("utc", timefns.local_to_utc(F.col("wall"), "America/New_York").alias("got"), timefns.is_ambiguous(F.col("wall"), "America/New_York").alias("twice"), "wall").collect()
+    assert all(r.got == r.utc for r in got)
+    assert [r.wall for r in got if r.twice] == [at(11, 2, 1, 30)]
+
+
+def test_ranges_and_percentiles(spark):
+    r = random.Random(4)
+    rows = [(r.choice(["a", "b", None]), r.choice([None, 1.0, 2.0, r.random(), r.gauss(0, 9)])) for _ in range(3000)] + [("c", 5.0), ("d", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(7)
+    qs = [0.0, 0.1, 0.5, 0.77, 1.0]
+    for by in ((), ("g",)):
+        want = {tuple(x[c] for c in by): x.q for x in df.groupBy(*by).agg(F.percentile("v", F.array(*map(F.lit, qs))).alias("q")).collect() if x.q is not None}
+        got = {tuple(x[c] for c in by): x.q for x in ranks.percentiles(df, "v", qs, by).collect()}
+        assert set(got) == set(want) and all(a == pytest.approx(b) for k in want for a, b in zip(got[k], want[k], strict=True))
+    assert [x.q for x in ranks.percentiles(df.limit(0), "v", [0.5]).collect()] == [[None]]
+    per = spark.createDataFrame([(i, i % 3) for i in range(50)], "k int, n int")
+    got = {x.k: (x.cum_n, x.all_n) for x in ranks.running_sums(per, "k", ("n",), descending=True).collect()}
+    assert got == {i: (sum(j % 3 for j in range(i, 50)), sum(j % 3 for j in range(50))) for i in range(50)}
