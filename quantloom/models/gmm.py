@@ -153,7 +153,7 @@ def score(df: DataFrame, model: Mixture, prefix: str = "gmm_") -> DataFrame:
         import pandas as pd
 
         for p in parts:
-            x = np.stack([c.to_numpy(dtype=float) for c in p], axis=1)
+            x = np.stack([c.to_numpy(dtype=float) for c in (p if isinstance(p, tuple) else (p,))], axis=1)
             d = density(x)
             top = d.max(1)
             yield pd.DataFrame({"loglik": top + np.log(np.exp(d - top[:, None]).sum(1)), "component": d.argmax(1).astype("int32")})

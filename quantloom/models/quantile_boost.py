@@ -40,7 +40,7 @@ class QuantileBoost:
         @F.pandas_udf("double")
         def predicted(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             for p in parts:
-                x = np.stack([c.to_numpy(dtype=float) for c in p], axis=1)
+                x = np.stack([c.to_numpy(dtype=float) for c in (p if isinstance(p, tuple) else (p,))], axis=1)
                 total, every = np.full(len(x), base), np.arange(len(x))
                 for feature, threshold, left, right, value in trees:
                     node = np.zeros(len(x), np.int64)
