@@ -9,7 +9,8 @@ the first place of each line stays. Hashes of chunks meet first, with their plac
 hash occurs again are taken from the texts. These meet by md5, and the bytes are compared as well: of all texts that
 share a digest the least and the greatest must be the same, otherwise none of them is removed. Both aggregates have
 one row for each different chunk in each task before the exchange, so a passage of a third of all documents is one row
-of each task; the places are joined to them, which adaptive execution splits where a chunk is hot.
+of each task; the places are joined to them, which adaptive execution splits where a chunk is hot. Joins are by sorting
+at every size: what a small table would broadcast grows with the documents.
 
 Defined cases: null texts stay null and have no lines; an empty text is one line; rows with equal doc_id and
 text count as one document and are treated alike; a doc_id may come with several texts; rows with a null doc_id are
@@ -74,9 +75,9 @@ def _repeated_chunks(docs: DataFrame, modulus: int) -> DataFrame:
     then go to the places found in them, once."""
     places = materialize(_chunk_places(docs, modulus), "line-places")
     again = places.groupBy("_h").agg(F.count("*").alias("_n")).filter("_n > 1").select("_h")
-    found = places.join(again, "_h", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_doc").alias("_in")).agg(F.collect_set("_c").alias("_cs"))
+    found = places.join(again.hint("merge"), "_h", "left_semi").groupBy(F.col("doc_id").alias("_id"), F.col("_doc").alias("_in")).agg(F.collect_set("_c").alias("_cs"))
     texts = docs.filter("text is not null").select("doc_id", _text_id().alias("_doc"), "text")
-    rows = texts.join(found, _same_doc("doc_id", "_id", "_doc", "_in")).select("doc_id", "_doc", "_cs", F.split("text", "\n").alias("_lines"))
+    rows = texts.join(found.hint("merge"), _same_doc("doc_id", "_id", "_doc", "_in")).select("doc_id", "_doc", "_cs", F.split("text", "\n").alias("_lines"))
     rows = rows.select("doc_id", "_doc", F.inline(F.transform("_cs", lambda c: F.struct(_from(c).alias("_from"), _to(c).alias("_to"), _chunk(c).alias("_chunk")))))
     return materialize(rows.withColumn("_digest", F.unhex(F.md5(F.col("_chunk").cast("binary")))), "line-chunks")
 
@@ -88,7 +89,7 @@ def _removals(docs: DataFrame, modulus: int) -> DataFrame:
     rows = _repeated_chunks(docs, modulus)
     met = rows.groupBy("_digest").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.min("_chunk").alias("_least"), F.max("_chunk").alias("_most"))
     repeated = materialize(met.filter("_first != _last and _least = _most").select("_digest", "_first"), "line-repeats")
-    later = rows.drop("_chunk").join(repeated, "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
+    later = rows.drop("_chunk").join(repeated.hint("merge"), "_digest").filter("not (doc_id <=> _first.doc_id and _doc = _first._doc and _from <= _first._to)")
     return materialize(later.groupBy(F.col("doc_id").alias("_id"), "_doc").agg(F.array_distinct(F.flatten(F.collect_set(F.expr("sequence(_from, _to)")))).alias("_gone")), "line-removals")
 
 
@@ -97,7 +98,7 @@ def dedup_lines(docs: DataFrame, modulus: int = MODULUS, report: bool = False) -
     (runs of removed lines), which replace columns of these names."""
     gone = _removals(docs.select("doc_id", "text"), modulus)
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), _text_id().alias("_own"))
-    out = own.join(gone, _same_doc("_row.doc_id", "_id", "_own", "_doc"), "left").withColumn("_text", F.col("_row.text")).withColumn("_lines", F.split("_text", "\n"))
+    out = own.join(gone.hint("merge"), _same_doc("_row.doc_id", "_id", "_own", "_doc"), "left").withColumn("_text", F.col("_row.text")).withColumn("_lines", F.split("_text", "\n"))
     left = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get(F.col("_lines"), i)), "\n")
     text = F.when(F.col("_gone").isNull() | F.col("_text").isNull(), F.col("_text")).otherwise(kept)
