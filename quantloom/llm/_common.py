@@ -62,10 +62,18 @@ def forget(df: DataFrame) -> None:
     _delete(df.sparkSession, df._table_path)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage."""
+#: Most rows for each file of a table of a few numbers a row.
+FILE_ROWS = 1 << 20
+
+
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage. `rows` is for tables of a
+    few numbers a row: where it bounds their rows, they get a file for each FILE_ROWS of these, and as many as there
+    are cores at least, instead of one for each shuffle partition."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._table_path = path

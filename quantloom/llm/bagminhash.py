@@ -233,29 +233,36 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of distinct candidate pairs (a, b) that are similar enough."""
-    both = materialize(pairs, "bag-pairs").join(texts.select(F.col("tid").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("bytes").alias("tb")), "b")
+def _verified(pairs: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """Those of distinct candidate pairs (a, b), at most so many, that are similar enough."""
+    both = materialize(pairs, "bag-pairs", most).join(texts.select(F.col("tid").alias("a"), F.col("bytes").alias("ta")), "a").join(texts.select(F.col("tid").alias("b"), F.col("bytes").alias("tb")), "b")
     compared = both.select("a", "b", "ta", "tb").mapInArrow(_compared, "a bigint, b bigint, similarity double")
     return materialize(compared.filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "bag-links")
 
 
 @scratch
-def components(edges: DataFrame) -> DataFrame:
-    """tid, comp (the least tid of its component) of all ends of the edges (a, b)."""
-    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u != v").distinct(), "bag-edges")
-    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).withColumnRenamed("u", "tid"), "bag-labels")
-    while True:
+def components(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """tid, comp (the least tid of its component) of all ends of the edges (a, b), at most so many. In each step a tid takes the least of
+    its own label, its neighbours' labels and its label's label, until nothing changes."""
+    both = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))).filter("u != v").distinct(), "bag-edges", most and 2 * most)
+    most = both.count()
+    labels = materialize(both.groupBy("u").agg(F.least("u", F.min("v")).alias("comp")).select(F.col("u").alias("tid"), F.lit(True).alias("moved"), "comp"), "bag-labels", most)
+    while not labels.filter("moved").isEmpty():
         near = both.join(labels.select(F.col("tid").alias("v"), F.col("comp").alias("near")), "v").groupBy("u").agg(F.min("near").alias("near"))
-        step = labels.join(near, labels.tid == near.u).select("tid", F.col("comp").alias("was"), F.least("comp", "near").alias("to"))
-        step = materialize(step, "bag-step")
-        jumped = step.join(step.select(F.col("tid").alias("to"), F.col("to").alias("further")), "to").select("tid", "was", F.least("to", "further").alias("comp"))
-        jumped = materialize(jumped, "bag-labels")
-        if jumped.filter("comp != was").isEmpty():
-            out = jumped.select("tid", "comp")
-            out._table_path = jumped._table_path
-            return out
-        labels = jumped.select("tid", "comp")
+        further = labels.select(F.col("tid").alias("of"), F.col("comp").alias("further"))
+        step = labels.join(near, labels["tid"] == near["u"]).join(further, F.col("comp") == F.col("of")).select("tid", F.col("comp").alias("was"), F.least("comp", "near", "further").alias("comp"))
+        labels = materialize(step.select("tid", (F.col("comp") != F.col("was")).alias("moved"), "comp"), "bag-labels", most)
+    out = labels.select("tid", "comp")
+    out._table_path = labels._table_path
+    return out
+
+
+def _merged(comps: DataFrame, links: DataFrame, most: int) -> DataFrame:
+    """comps (tid, comp), of at most so many rows, after these links between their tids: components of components."""
+    at = lambda end: comps.select(F.col("tid").alias(end), F.col("comp").alias(f"{end}_comp"))
+    found = components(links.join(at("a"), "a").join(at("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")), links.count())
+    new = found.select(F.col("tid").alias("comp"), F.col("comp").alias("new"))
+    return materialize(comps.join(new, "comp", "left").select("tid", F.coalesce("new", "comp").alias("comp")), "bag-comps", most)
 
 
 def _may_match(a: str, b: str) -> Column:
@@ -272,7 +279,7 @@ def _digest(text: Column) -> Column:
 def _shared_rows(texts: DataFrame) -> DataFrame:
     """tid, weight, s0, s1, band, key of the texts in buckets of at least two."""
     rows = texts.filter("weight > 0").select("tid", F.posexplode("bands").alias("band", "key"))
-    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "bag-keys")
+    keys = materialize(rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key"), "bag-keys", texts.count() * BANDS)
     shared = materialize(rows.join(keys, "key"), "bag-shared")
     return materialize(shared.join(texts.select("tid", "weight", "s0", "s1"), "tid"), "bag-rows")
 
@@ -282,20 +289,20 @@ def _asked(base: DataFrame, ids: DataFrame) -> DataFrame:
     hash none of the ids has go before the shuffle: at most 2 ** ASKED_BITS hash values are broadcast, whatever the
     number of ids."""
     at = lambda: F.pmod(F.xxhash64("doc", "digest"), F.lit(1 << ASKED_BITS)).cast("int")
-    seen = materialize(ids.select(at().alias("_at")).distinct(), "bag-hashes")
+    seen = materialize(ids.select(at().alias("_at")).distinct(), "bag-hashes", 1 << ASKED_BITS)
     near = base.withColumn("_at", at()).join(F.broadcast(seen), "_at", "left_semi").drop("_at")
     wanted = ids.select("tid", F.col("doc").alias("_doc"), F.col("digest").alias("_digest"))
     met = near.join(wanted, near["doc"].eqNullSafe(wanted["_doc"]) & (near["digest"] == wanted["_digest"])).select("tid", "bytes").dropDuplicates(["tid"])
     return materialize(met, "bag-asked")
 
 
-def _open_buckets(rows: DataFrame, turn: int) -> DataFrame:
+def _open_buckets(rows: DataFrame, turn: int, most: int) -> DataFrame:
     """key, n, h_n, h_comp and h_ columns of the buckets with several components: the size of the bucket and of its
-    largest component there, and one member of that."""
+    largest component there, and one member of that. There are at most so many rows."""
     one = F.min(F.struct(F.xxhash64("tid", "key", F.lit(turn)).alias("o"), "tid", "weight", "s0", "s1"))
     per = rows.groupBy("key", "comp").agg(F.count("*").alias("_c"), one.alias("_one"))
     out = per.groupBy("key").agg(F.sum("_c").alias("n"), F.max(F.struct("_c", "comp", "_one")).alias("h"), F.count("*").alias("_comps")).filter("_comps > 1")
-    return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("tid", "weight", "s0", "s1")]), "bag-open")
+    return materialize(out.select("key", "n", F.col("h._c").alias("h_n"), F.col("h.comp").alias("h_comp"), *[F.col(f"h._one.{c}").alias(f"h_{c}") for c in ("tid", "weight", "s0", "s1")]), "bag-open", most)
 
 
 def _star_pairs(rows: DataFrame, buckets: DataFrame, turn: int) -> DataFrame:
@@ -341,19 +348,20 @@ def _classes(docs: DataFrame) -> DataFrame:
     numbered = texts.repartitionByRange(n, "who", "digest").sortWithinPartitions("who", "digest").withColumn("tid", F.monotonically_increasing_id())
     texts = materialize(numbered.select("tid", F.col("who.doc").alias("doc"), "digest", "v.*"), "bag-texts")
     rows = _shared_rows(texts)
-    asked = _asked(base, texts.select("tid", "doc", "digest").join(rows.select("tid").distinct(), "tid", "left_semi"))
-    size, links, comps, turn = rows.count(), None, rows.select("tid").distinct().withColumn("comp", F.col("tid")), 0
+    size, turn = rows.count(), 0
+    comps = materialize(rows.select("tid").distinct().withColumn("comp", F.col("tid")), "bag-comps", size)
+    asked = _asked(base, texts.select("tid", "doc", "digest").join(comps, "tid", "left_semi"))
     while size:
-        placed = rows.join(comps, "tid", "left").withColumn("comp", F.coalesce("comp", "tid")) if turn else rows.withColumn("comp", F.col("tid"))
-        buckets = _open_buckets(placed.filter(F.col("band") < FIRST_BANDS) if turn == 0 else placed, turn)
+        placed = rows.join(comps, "tid")
+        buckets = _open_buckets(placed.filter(F.col("band") < FIRST_BANDS) if turn == 0 else placed, turn, size)
         left = buckets.agg(F.sum((F.col("n") - F.col("h_n")) * F.col("n"))).first()[0] or 0
         if not left and turn:
             break
         last = turn > 1 and (left <= LAST_PAIRS * size or turn >= ROUNDS)
-        more = _verified(_last_pairs(placed, buckets, asked, texts) if last else _star_pairs(placed, buckets, turn), asked)
+        pairs = _last_pairs(placed, buckets, asked, texts) if last else _star_pairs(placed, buckets, turn)
+        more = _verified(pairs, asked, max(left, size))
         if not more.isEmpty():
-            links = more if links is None else materialize(links.unionAll(more), "bag-all")
-            comps = components(links)
+            comps = _merged(comps, more, size)
         if last:
             break
         turn += 1
