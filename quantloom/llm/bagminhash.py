@@ -323,9 +323,11 @@ def _last_pairs(rows: DataFrame, buckets: DataFrame, asked: DataFrame, texts: Da
     at = buckets.select(F.col("key").alias("x_key"), "h_comp")
     held = rows.join(at, F.col("key") == F.col("x_key")).drop("x_key")
     held = materialize(held, "bag-held-rows")
-    # Python looks at these texts, so they are dealt out by number, not by bytes; only those still held have finer sketches.
-    dealt = asked.repartition(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), "tid")
-    fine = dealt.join(held.select("tid").distinct(), "tid", "left_semi").select("tid", "bytes").mapInArrow(_fine_rows, "tid bigint, fine array<bigint>")
+    # Only texts still held have finer sketches. Python looks at them, so they are dealt out by a hash, in as many tasks as
+    # there are shuffle partitions, however few bytes they have.
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.join(held.select("tid").distinct(), "tid", "left_semi").repartition(n, F.xxhash64("tid"))
+    fine = dealt.select("tid", "bytes").mapInArrow(_fine_rows, "tid bigint, fine array<bigint>")
     held = materialize(held.join(fine, "tid").join(texts.select("tid", "bands"), "tid"), "bag-held")
     out = materialize(held.filter("comp != h_comp").select(F.col("key").alias("x_key"), *[F.col(c).alias(f"x_{c}") for c in ("tid", "weight", "s0", "s1", "comp", "fine", "bands")]), "bag-outside")
     asks = (F.col("comp") != F.col("x_comp")) & ((F.col("comp") == F.col("h_comp")) | (F.col("tid") < F.col("x_tid"))) & _may_match("", "x_")
